@@ -45,31 +45,51 @@ def scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A plan whose size Catalyst doesn't know says so by a number beyond this; its rows are then counted, at so many bytes each.
+UNKNOWN, ROW_BYTES = 1 << 50, 1_000
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate for the plan: for a scan the bytes of its files, so nothing is read."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < UNKNOWN else df.count() * ROW_BYTES
 
 
 def buckets(df: DataFrame, mb: float) -> int:
     """How many groups of about ``mb`` MB of input there are; it follows the input without a bound."""
-    return max(8, math.ceil(min(size_in_bytes(df), 1 << 60) / (mb * 1e6)))
+    return max(8, math.ceil(size_in_bytes(df) / (mb * 1e6)))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, units): every row with a key ``uid``, and one unit (uid, text) for each key.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame | None, DataFrame]:
+    """(rows, units): the units (uid, text) to work on, and for rows that are no units themselves (uid, id).
 
-    Where ids are unique and not null, ``uid`` is the id. Otherwise the distinct (id, text) pairs are sorted, null
-    first, and numbered in that order: repeated rows share a key, rows that share only the id are told apart by text.
+    Where ids are unique and not null, ``uid`` is the id and rows is None. Otherwise the distinct (id, text) pairs are
+    sorted, null first, and numbered in that order: repeated rows share a unit, rows that share only the id are told
+    apart by the digest of their text. A null text is empty.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    twice = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1)
-    if twice.isEmpty():
-        rows = docs.select(F.col("id").cast("long").alias("uid"), "id", "text")
-        return rows, rows.select("uid", "text")
-    digest = docs.withColumn("h", F.sha2("text", 256))
-    keys = scratch(
-        digest.select("id", "h").distinct().orderBy(F.col("id").asc_nulls_first(), "h").withColumn("uid", F.monotonically_increasing_id())
-    )
-    rows = digest.alias("d").join(keys.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.h") == F.col("k.h")))
+    if docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1).isEmpty():
+        return None, docs.select(F.col("id").cast("long").alias("uid"), "text")
+    docs = docs.withColumn("h", F.sha2("text", 256))
+    keys = docs.select("id", "h").distinct().orderBy(F.col("id").asc_nulls_first(), "h")
+    keys = scratch(keys.withColumn("uid", F.monotonically_increasing_id()))
+    rows = docs.alias("d").join(keys.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.h") == F.col("k.h")))
     rows = scratch(rows.select("uid", F.col("d.id").alias("id"), "text"))
-    return rows, rows.groupBy("uid").agg(F.first("text").alias("text"))
+    return rows.select("uid", "id"), rows.groupBy("uid").agg(F.first("text").alias("text"))
+
+
+def unkeyed(rows: DataFrame | None, results: DataFrame, id_col: str) -> DataFrame:
+    """The results of units, (uid, ...), for every row, with its id."""
+    if rows is None:
+        return results.withColumnRenamed("uid", id_col)
+    return rows.join(results, "uid").drop("uid").withColumnRenamed("id", id_col)
+
+
+def copies(units: DataFrame) -> DataFrame:
+    """(uid, first, many): whether a unit is the first with its text, and whether another has it too.
+
+    Texts are told apart by 128 bits and stay where they are; equal ones are counted with map-side aggregation.
+    """
+    h = units.select("uid", F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b"))
+    low = h.groupBy("a", "b").agg(F.min("uid").alias("low"), (F.count(F.lit(1)) > 1).alias("many"))
+    return h.join(low, ["a", "b"]).select("uid", (F.col("uid") == F.col("low")).alias("first"), "many")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldline.llm import bpe, knn, lattice, lines, packing, pii, quality, simhash
+from foldline.llm import bpe, knn, lattice, lines, packing, pii, quality, simhash, substring
 from foldline.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_knn": knn.TOP_K_SQL, "op9_lines": lines.LINE_SQL}
+    return {"op2_substring": substring.SUBSTRING_SQL, "op7_knn": knn.TOP_K_SQL, "op9_lines": lines.LINE_SQL}
