@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldline.llm import bpe, knn, lattice, lines, packing, pii, quality, simhash, substring
+from foldline.llm import bpe, knn, lattice, lines, packing, pii, quality, simhash, substring, suffix
 from foldline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 

@@ -212,3 +212,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def simhash_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return near_groups(docs, id_col, text_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows, all columns unchanged, without those that another row of their group comes before: smallest id first.
+
+    Exactly one row of each group stays, also where ids repeat or are null: rows are then ordered by id, null last, and
+    text.
+    """
+    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    if ids.where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).isEmpty():
+        groups = near_groups(docs, id_col, text_col, words)
+        return docs.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi").select(docs.columns)
+    rows = scratch(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn("_row", F.monotonically_increasing_id()))
+    groups = near_groups(rows, "_row", text_col, words)
+    return rows.join(groups.where("_row = component_id").select("_row"), "_row", "left_semi").select(docs.columns)
