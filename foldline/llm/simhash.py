@@ -1,8 +1,14 @@
-"""SimHash near-duplicates within four bits, by pigeonring filtering.
+"""SimHash near-duplicates by pigeonring filtering.
 
-A fingerprint is a ring of five segments. If two fingerprints differ in at most four bits, then from some segment on
-every chain of 1, 2, 3, 4, 5 segments differs in at most 0, 1, 2, 3, 4 bits: chains keep a proportional budget.
-Candidates are those that may agree on such a chain of three; the whole chain condition prunes them before all bits count.
+A fingerprint is a ring of m segments. If two fingerprints differ in at most t bits, then from some segment on every chain
+of l consecutive segments differs in at most l * t / m bits: chains keep a proportional budget.
+
+Narrow fingerprints, 64 bits in five segments, link at four bits. Candidates are those that may agree on a chain of three
+segments, which misses none; the whole chain condition prunes them before all bits count.
+
+Wide fingerprints, 512 bits in eight segments, link at 96 bits, which word shingles of similarity 0.8 keep to: four bits of
+64 would be a similarity of about 0.97. Candidates agree on a window of 16 bits; two texts of similarity 0.8 share one of
+the 64 windows with a probability of 0.97 (tests/llm/test_simhash.py measures it), more similar ones more surely.
 """
 
 from __future__ import annotations
@@ -17,41 +23,52 @@ from pyspark.sql import functions as F
 
 from foldline.llm.common import buckets, scratch
 from foldline.llm.components import components
+from foldline.llm.substring import mixed
 
 WORDS, BITS, SEGMENTS = 4, 4, 5
 EDGES = (0, 13, 26, 39, 52, 64)
+WIDE_BITS, WIDE_WORDS, WINDOW, STRIDE = 96, 8, 16, 8
 #: A key with more fingerprints than this is not linked in one task but in blocks of so many, pair by pair of blocks.
 BLOCK = 16_384
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Lower-cased A-Z, shingles of ``words`` words; a bit is set if it is in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of a text whose A-Z are lower-cased, repeats included; long texts come in stretches."""
     w = text.lower().split()
     if not w:
-        return 0
+        return
     joined = b" ".join(w)
     n = np.fromiter(map(len, w), np.int64, len(w))
     ends = np.cumsum(n + 1) - 1
     k = max(len(w) - words + 1, 1)
     starts, stops = (ends - n)[:k].tolist(), ends[min(words, len(w)) - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
-    for at in range(0, k, 1 << 16):  # long texts in stretches, so that bits never take more than a few MB
-        x = np.array([h(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)], strict=True)], "<u8")
-        total += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > k, bitorder="little").view("<u8")[0])
+    for at in range(0, k, 1 << 13):
+        yield np.array([h(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 13)], stops[at : at + (1 << 13)], strict=True)], "<u8")
+
 
+def fingerprint(text: bytes, words: int = WORDS, wide: bool = False) -> np.ndarray:
+    """Words of 64 bits, one or eight; a bit is set if it is in over half of the shingles' hashes."""
+    width = WIDE_WORDS if wide else 1
+    total, k = np.zeros(64 * width, np.int64), 0
+    for h in shingle_hashes(text, words):
+        x = np.stack([h if i == 0 else mixed(h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i in range(width)], axis=1)
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        k += len(h)
+    return np.packbits(2 * total > k, bitorder="little").view("<u8")
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp): one row for each row; fp is the fingerprint as a signed long."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, wide: bool = False) -> DataFrame:
+    """(id, fp): one row for each row; a narrow fingerprint is a signed long, a wide one 64 bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py() or b"", words) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp = [fingerprint(x.as_py() or b"", words, wide) for x in batch.column(1)]
+            col = pa.array([x.tobytes() for x in fp], pa.binary()) if wide else pa.array(np.array(fp, np.uint64).reshape(-1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), col], names=[id_col, "fp"])
 
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp {'binary' if wide else 'bigint'}")
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -75,37 +92,57 @@ def chain_keys(fp: np.ndarray) -> np.ndarray:
     return np.stack(out)
 
 
+def window_keys(fp: np.ndarray) -> np.ndarray:
+    """The 16-bit windows of wide fingerprints [row, word], one row of the result for each place in the ring."""
+    ring = np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 8 * WIDE_WORDS).astype(np.uint64)
+    n = ring.shape[1]
+    return np.stack([np.uint64(i << 32) | ring[:, i] << np.uint64(8) | ring[:, (i + 1) % n] for i in range(0, n, STRIDE // 8)])
+
+
+def _ring(d: np.ndarray, bits: int) -> np.ndarray:
+    """Whether from some segment on all chains keep their budgets, for differences [row, segment]."""
+    m = d.shape[1]
+    out = np.zeros(len(d), bool)
+    for i in range(m):
+        total, ok = np.zeros(len(d), np.int64), ~out
+        for length in range(1, m + 1):
+            total = total + d[:, (i + length - 1) % m]
+            ok &= total * m <= length * bits
+            if not ok.any():
+                break
+        out |= ok
+    return out
+
+
 def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The pigeonring test, then the full Hamming test on what is left."""
+    """Which rows of words link: the pigeonring test, then the full Hamming test on what is left."""
     x = a ^ b
-    d = [np.bitwise_count(_segment(x, i)).astype(np.int8) for i in range(SEGMENTS)]
-    ring = np.zeros(x.shape, bool)
-    for i in range(SEGMENTS):
-        total, ok = np.zeros(x.shape, np.int8), np.ones(x.shape, bool)
-        for length in range(1, SEGMENTS + 1):
-            total = total + d[(i + length - 1) % SEGMENTS]
-            ok &= total * SEGMENTS <= length * BITS
-        ring |= ok
-    ring[ring] = np.bitwise_count(x[ring]) <= BITS
-    return ring
+    wide = x.shape[1] > 1
+    d = np.bitwise_count(x) if wide else np.stack([np.bitwise_count(_segment(x[:, 0], i)) for i in range(SEGMENTS)], axis=1)
+    bits = WIDE_BITS if wide else BITS
+    # The cheapest chains first: some segment must keep the budget of one.
+    ok = d.min(axis=1) * d.shape[1] <= bits
+    ok[ok] = _ring(d[ok].astype(np.int64), bits)
+    ok[ok] = np.bitwise_count(x[ok]).sum(axis=1, dtype=np.int64) <= bits
+    return ok
 
 
-def _near(pool: np.ndarray, x: np.uint64) -> np.ndarray:
-    return np.bitwise_count(pool ^ x) <= BITS
+def _near(pool: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(pool ^ x).sum(axis=1, dtype=np.int64) <= (WIDE_BITS if pool.shape[1] > 1 else BITS)
 
 
 def _forest(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is within BITS in ``fp``, never all pairs.
+    """Links (as row numbers) that connect what is near in ``fp`` [row, word], never all pairs.
 
     A search from each fingerprint looks only at those not reached yet, so a dense ball around a centre is done in a
     few sweeps. Each one that is reached gives one link.
     """
-    left = fp
+    left = np.arange(len(fp))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = _near(left, x)
+            hit = _near(fp[left], fp[x])
             if hit.any():
                 y = left[hit]
                 yield np.full(len(y), x), y
@@ -113,18 +150,20 @@ def _forest(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 left = left[~hit]
 
 
-def _forest_between(fp: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same for links between two blocks: the search goes to and fro, and reaches each fingerprint once."""
-    pools = [fp, other]
+def _forest_between(fp: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for links between two blocks of ``fp``: the search goes to and fro, and reaches each fingerprint once."""
+    pools = [np.flatnonzero(first), np.flatnonzero(~first)]
     while len(pools[0]) and len(pools[1]):
         queue, pools[0] = [(1, pools[0][0])], pools[0][1:]
         while queue:
             to, x = queue.pop()
-            hit = _near(pools[to], x)
+            if not len(pools[to]):
+                continue
+            hit = _near(fp[pools[to]], fp[x])
             if hit.any():
                 y = pools[to][hit]
                 yield np.full(len(y), x), y
-                queue.extend((1 - to, v) for v in y)
+                queue.extend((1 - to, i) for i in y)
                 pools[to] = pools[to][~hit]
 
 
@@ -134,61 +173,85 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(key: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
-    """Links of one bucket, and the rows of keys that are too large for one task."""
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    starts, sizes = _runs(key)
+    """Links (as row numbers) of one bucket, and (key, rows) of keys that are too large for one task."""
+    order = np.argsort(key, kind="stable")
+    starts, sizes = _runs(key[order])
     links, large = [], []
     for n in np.unique(sizes[sizes > 1]):
         s = starts[sizes == n]
         if n <= 48:  # many small keys at once: all pairs of each
             i, j = np.triu_indices(int(n), 1)
-            step = max(1, 2_000_000 // len(i))
+            step = max(1, 500_000 // (len(i) * fp.shape[1]))
             for k in range(0, len(s), step):
-                a, b = fp[(s[k : k + step, None] + i).ravel()], fp[(s[k : k + step, None] + j).ravel()]
-                ok = within(a, b)
+                a, b = order[(s[k : k + step, None] + i).ravel()], order[(s[k : k + step, None] + j).ravel()]
+                ok = within(fp[a], fp[b])
                 links.append((a[ok], b[ok]))
         elif n <= BLOCK:
             for k in s:
-                links.extend(_forest(fp[k : k + n]))
+                rows = order[k : k + n]
+                links.extend((rows[x], rows[y]) for x, y in _forest(fp[rows]))
         else:
-            large.extend((int(key[k]), fp[k : k + n]) for k in s)
+            large.extend((int(key[order[k]]), order[k : k + n]) for k in s)
     return links, large
 
 
+def _words(t: pa.Table, name: str = "node") -> np.ndarray:
+    """Fingerprints [row, word] of a table; narrow ones are their own nodes."""
+    if "fp" not in t.column_names:
+        return t[name].to_numpy().view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(t["fp"].to_pylist()), "<u8").reshape(-1, WIDE_WORDS)
+
+
+def _cat(parts: list, dtype: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.asarray(p, dtype) for p in parts] or [np.zeros(0, dtype)])
+
+
 def linked(fps: DataFrame) -> DataFrame:
-    """(a, b): links that connect all fingerprints (column fp, distinct) that chains of links of at most BITS bits join."""
+    """(a, b): links that connect all nodes of ``fps`` that chains of near fingerprints join.
+
+    ``fps`` has a column node: the fingerprint itself, distinct; or any number, beside the wide fingerprint in fp.
+    """
+    wide = "fp" in fps.columns
     n = buckets(fps, 0.25)
+    fp_col = ", fp binary" if wide else ""
 
     def keys(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            k = chain_keys(fp).ravel()
+            t = pa.Table.from_batches([batch])
+            k = (window_keys(_words(t)) if wide else chain_keys(_words(t)[:, 0])).ravel()
+            times = len(k) // max(len(t), 1)
             bucket = ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(k.view(np.int64)), pa.array(np.tile(fp, 30).view(np.int64))], names=["bucket", "k", "fp"])
+            for i in range(times):  # a batch for each kind of key, so that none is many times as large as what came in
+                part = slice(i * len(t), (i + 1) * len(t))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[part].astype(np.int32)), pa.array(k[part].view(np.int64)), *batch.columns], names=["bucket", "k", *batch.schema.names])
 
     def local(t: pa.Table) -> pa.Table:
-        links, large = _links(t["k"].to_numpy().view(np.uint64), t["fp"].to_numpy().view(np.uint64))
-        a = np.concatenate([x for x, _ in links] + [f for _, f in large] or [np.zeros(0, np.uint64)])
-        b = np.concatenate([y for _, y in links] + [np.full(len(f), k, np.uint64) for k, f in large] or [np.zeros(0, np.uint64)])
-        block = np.concatenate([np.full(len(x), -1) for x, _ in links] + [np.arange(len(f)) // BLOCK for _, f in large] or [np.zeros(0, np.int64)])
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "block": block.astype(np.int64)})
-
-    found = scratch(fps.select("fp").mapInArrow(keys, "bucket int, k bigint, fp bigint").groupBy("bucket").applyInArrow(local, "a bigint, b bigint, block bigint"))
+        fp, node, key = _words(t), t["node"].to_numpy(), t["k"].to_numpy()
+        links, large = _links(key.view(np.uint64), fp)
+        out = {
+            "a": _cat([node[x] for x, _ in links] + [node[r] for _, r in large]),
+            "b": _cat([node[y] for _, y in links] + [np.full(len(r), np.uint64(k)).view(np.int64) for k, r in large]),
+            "block": _cat([np.full(len(x), -1) for x, _ in links] + [np.arange(len(r)) // BLOCK for _, r in large]),
+        }
+        if wide:
+            none = pa.nulls(sum(len(x) for x, _ in links), pa.binary())
+            out["fp"] = pa.chunked_array([none, *(t["fp"].combine_chunks().take(pa.array(r)) for _, r in large)], pa.binary())
+        return pa.table(out)
+
+    found = scratch(fps.select("node", *["fp"] * wide).mapInArrow(keys, f"bucket int, k bigint, node bigint{fp_col}").groupBy("bucket").applyInArrow(local, f"a bigint, b bigint, block bigint{fp_col}"))
     links = found.where("block < 0").select("a", "b")
     large = found.where("block >= 0")
     if large.isEmpty():
         return links
     # Every pair of blocks of a large key is a task of its own.
     blocks = large.groupBy("b").agg((F.max("block") + 1).alias("blocks"))
-    dealt = large.join(blocks, "b").select("a", "b", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
-    dealt = dealt.select("b", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), F.col("block") == F.least("block", "to"), "a").toDF("b", "i", "j", "first", "a")
+    dealt = large.join(blocks, "b").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
+    dealt = dealt.select("b", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") <= F.col("to")).alias("first"), F.col("a").alias("node"), *["fp"] * wide)
 
     def pair(t: pa.Table) -> pa.Table:
-        fp, first = t["a"].to_numpy().view(np.uint64), t["first"].to_numpy(zero_copy_only=False)
-        got = list(_forest(fp) if t["i"][0].as_py() == t["j"][0].as_py() else _forest_between(fp[first], fp[~first]))
-        a, b = (np.concatenate([x[i] for x in got] or [np.zeros(0, np.uint64)]) for i in (0, 1))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        fp, node = _words(t), t["node"].to_numpy()
+        got = list(_forest(fp) if t["i"][0].as_py() == t["j"][0].as_py() else _forest_between(fp, t["first"].to_numpy(zero_copy_only=False)))
+        return pa.table({"a": _cat([node[x] for x, _ in got]), "b": _cat([node[y] for _, y in got])})
 
     return links.union(dealt.groupBy("b", "i", "j").applyInArrow(pair, "a bigint, b bigint"))
 
@@ -202,7 +265,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = scratch(fingerprints(docs, id_col, text_col, words))
     fps = scratch(rows.groupBy("fp").agg(F.min(id_col).alias("low")))
-    comp = components(linked(fps))
+    comp = components(linked(fps.select(F.col("fp").alias("node"))))
     of = fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     of = scratch(of)
     lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -210,20 +273,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-def simhash_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return near_groups(docs, id_col, text_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id): rows whose id is not the smallest of those that wide fingerprints link them to. Ids are distinct longs."""
+    rows = scratch(fingerprints(docs, id_col, text_col, words, wide=True))
+    # A copy of a fingerprint is told from the first by 128 bits; the fingerprint itself goes on with the first only.
+    rows = rows.withColumns({"_a": F.xxhash64(F.lit(1), "fp"), "_b": F.xxhash64(F.lit(2), "fp")})
+    first = rows.groupBy("_a", "_b").agg(F.min(id_col).alias("node"))
+    later = rows.select(id_col, "_a", "_b").join(first, ["_a", "_b"]).where(F.col(id_col) != F.col("node")).select(id_col)
+    distinct = scratch(rows.select(id_col, "fp").join(later, id_col, "left_anti").select(F.col(id_col).alias("node"), "fp"))
+    comp = components(linked(distinct))
+    return later.union(comp.where("node <> component").select("node"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The rows, all columns unchanged, without those that another row of their group comes before: smallest id first.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """The rows, all columns unchanged, without those that are near-duplicates of a row that comes before: smallest id first.
 
-    Exactly one row of each group stays, also where ids repeat or are null: rows are then ordered by id, null last, and
-    text.
+    Near are texts whose wide fingerprints link, at a shingle similarity of 0.8 or more, and what chains of links join;
+    exactly one row of each such group stays. Where ids repeat or are null, rows are ordered by id, null last, and text.
     """
     ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     if ids.where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).isEmpty():
-        groups = near_groups(docs, id_col, text_col, words)
-        return docs.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi").select(docs.columns)
+        return docs.join(redundant(docs, id_col, text_col, words), id_col, "left_anti").select(docs.columns)
     rows = scratch(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn("_row", F.monotonically_increasing_id()))
-    groups = near_groups(rows, "_row", text_col, words)
-    return rows.join(groups.where("_row = component_id").select("_row"), "_row", "left_semi").select(docs.columns)
+    return rows.join(redundant(rows, "_row", text_col, words), "_row", "left_anti").select(docs.columns)
+
+
+def simhash_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return near_groups(docs, id_col, text_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

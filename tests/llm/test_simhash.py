@@ -70,10 +70,10 @@ def test_links_join_the_right_groups(spark, monkeypatch, block):
     x = np.array(fps, np.uint64)
     monkeypatch.setattr(simhash, "BLOCK", block)
     key = np.zeros(len(x), np.uint64)
-    links, large = simhash._links(key, x)
+    links, large = simhash._links(key, x.reshape(-1, 1))
     if block == 100:
         assert sum(len(f) for _, f in large) == len(x) and not links
-    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "node long")
     links = simhash.linked(df)
     assert links.count() < 60 * len(x)
     comp = {r.node: r.component for r in components(links).collect()}
@@ -85,14 +85,18 @@ def test_links_join_the_right_groups(spark, monkeypatch, block):
 
 def test_blocks_together_say_the_same():
     rng = np.random.default_rng(1)
-    x = np.unique(rng.integers(0, 1 << 12, 600).astype(np.uint64))
+    x = np.unique(rng.integers(0, 1 << 12, 600).astype(np.uint64)).reshape(-1, 1)
     whole = {tuple(map(int, p)) for a, b in simhash._forest(x) for p in zip(a, b, strict=True)}
-    parts = [x[i : i + 100] for i in range(0, len(x), 100)]
-    pieces = [p for i, u in enumerate(parts) for j, v in enumerate(parts[i:]) for p in (simhash._forest(u) if j == 0 else simhash._forest_between(u, v))]
-    split = {tuple(map(int, p)) for a, b in pieces for p in zip(a, b, strict=True)}
+    parts = [np.arange(len(x))[i : i + 100] for i in range(0, len(x), 100)]
+    split = set()
+    for i, u in enumerate(parts):
+        for v in parts[i:]:
+            rows = u if v is u else np.r_[u, v]
+            got = simhash._forest(x[rows]) if v is u else simhash._forest_between(x[rows], np.arange(len(rows)) < len(u))
+            split |= {(int(rows[p]), int(rows[q])) for a, b in got for p, q in zip(a, b, strict=True)}
 
     def roots(links):
-        r = {int(v): int(v) for v in x}
+        r = list(range(len(x)))
         for _ in range(50):
             for a, b in links:
                 r[a] = r[b] = min(r[a], r[b])
@@ -101,6 +105,53 @@ def test_blocks_together_say_the_same():
     assert roots(whole) == roots(split) and len(whole) < len(x)
 
 
+def near_copies(rng, n, share):
+    """Texts with a copy each in which this share of the words is replaced, and the similarity of their shingles."""
+    out = []
+    for _ in range(n):
+        w = words(rng, 400, 4000).split()
+        c = [f"n{rng.random()}" if rng.random() < share else x for x in w]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, c))
+        out.append((" ".join(w), " ".join(c), len(a & b) / len(a | b)))
+    return out
+
+
+def test_wide_fingerprints_find_similarity_of_eight_tenths():
+    pairs = [p for p in near_copies(random.Random(6), 400, 0.02) if p[2] >= 0.8]
+    a, b = (np.array([simhash.fingerprint(p[i].encode(), 5, True) for p in pairs]) for i in (0, 1))
+    met = (simhash.window_keys(a) == simhash.window_keys(b)).any(axis=0)
+    assert len(pairs) > 100 and (met & simhash.within(a, b)).mean() > 0.95
+    assert not simhash.within(a, np.roll(a, 1, axis=0)).any()
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 60])
+def test_one_of_each_group_stays(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(3)
+    lone = [words(rng, rng.randrange(20, 300), 4000) for _ in range(60)]
+    pairs = [p for p in near_copies(rng, 40, 0.012) if p[2] >= 0.84]
+    centre = words(rng, 400, 4000).split()
+    ball = [" ".join(w if rng.random() > 0.01 else f"z{rng.random()}" for w in centre) for _ in range(100)]
+    texts = lone + [p[0] for p in pairs] + [p[1] for p in pairs] + ball + [lone[5]] * 30 + ["", None]
+    df = documents(spark, texts)
+    out = simhash.keep_one(df)
+    kept = sorted(r.doc_id for r in out.collect())
+    assert out.columns == df.columns
+    n, m = len(lone), len(pairs)
+    assert kept[:n] == list(range(n))  # clean documents stay
+    assert kept[n : n + m] == list(range(n, n + m))
+    late = kept[n + m :]
+    assert len([i for i in late if i < n + 2 * m]) <= m // 20 + 1
+    assert len([i for i in late if n + 2 * m <= i < n + 2 * m + 100]) == 1
+    assert late[-1] == len(texts) - 2 and len([i for i in late if i >= n + 2 * m + 100]) == 1  # no words: one stays
+
+
+def test_rows_without_distinct_ids_keep_one_each(spark):
+    rows = simhash.keep_one(documents(spark, ["a b c d e f", "a b c d e f", "x y z", "x y z", "q"], [1, 1, None, None, 1])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows) == [("1", "a b c d e f"), ("1", "q"), ("None", "x y z")]
+    assert simhash.keep_one(documents(spark, [])).count() == 0
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 300)] + [(7, 7), (None, 3), (201, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
