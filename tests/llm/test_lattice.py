@@ -68,7 +68,7 @@ def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     base = [1.0, 2.0, 3.0]
     vectors = [base, base, None, [0.0] * 3, [1.0, None, 2.0], [nan, 1.0, 1.0], [inf, 1.0, 1.0], [], [1.0], [x * 1e30 for x in base], base, base, [-x for x in base]]
-    ids = [4, 3, 5, 6, 7, 8, 9, 10, 11, 12, None, 4, 13]
+    ids = [4, 3, *range(5, 13), None, 4, 13]
     got = sorted(((r.vec_id is None, r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(frame(spark, vectors, ids)).collect())
     lone = [((False, i), 0, i, True) for i in range(5, 12)]
     assert got == [((False, 3), 3, 3, True), ((False, 4), 3, 3, False), ((False, 4), 3, 3, False), *lone, ((False, 12), 3, 3, False), ((False, 13), 0, 13, True), ((True, 0), 0, None, True)]
