@@ -202,7 +202,8 @@ def _with_removed(docs: DataFrame, id_col: str, text_col: str, window: int, peri
     dealt = texts.repartition(parts, "uid")
     # Later copies need no windows: all of theirs start earlier in the first.
     firsts = told.join(kept_copies.where("first"), "uid", "left_semi")
-    whole = dealt.join(firsts.hint("shuffle_hash"), "uid").select("uid", "text", "hs")
+    # Sorted, so that a task that runs again after a loss sends on exactly what it sent before.
+    whole = dealt.join(firsts.hint("shuffle_hash"), "uid").select("uid", "text", "hs").sortWithinPartitions("uid")
     windows = whole.mapInArrow(_window_rows(parts, window, period, cover), blobs(4, 2)).groupBy("bucket").applyInArrow(_later, "uid long, start int")
     gone = windows.groupBy("uid").agg(F.collect_set("start").alias("starts"))
     facts = kept_copies.select("uid", (~F.col("first")).alias("copy")).join(gone, "uid", "left")

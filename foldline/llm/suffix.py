@@ -370,7 +370,9 @@ def _with_removed(docs: DataFrame, id_col: str, text_col: str, window: int, gram
         same = same.join(again, "uid").select("uid", (F.col("many") | F.col("again")).alias("many"))
     dealt = texts.repartition(parts, "uid")
     needs = classes.where(F.col("need") != FULL).groupBy("uid").agg(F.collect_list(F.struct("gram", "first", "last", "need")).alias("needs"))
-    around = dealt.join(needs.hint("shuffle_hash"), "uid").select("uid", "text", "needs").mapInArrow(_around_rows(parts, window), _AROUND)
+    # Sorted, so that a task that runs again after a loss sends on exactly what it sent before.
+    whole = dealt.join(needs.hint("shuffle_hash"), "uid").select("uid", "text", F.array_sort("needs").alias("needs")).sortWithinPartitions("uid")
+    around = whole.mapInArrow(_around_rows(parts, window), _AROUND)
     part = around.groupBy("bucket").applyInArrow(_repeated_windows(window), "uid long, first long, last long")
     runs = part.union(classes.where(F.col("need") == FULL).select("uid", "first", "last"))
     runs = runs.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
