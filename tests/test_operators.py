@@ -63,7 +63,7 @@ def test_log_operators(spark):
     assert {r.ts for r in op.first_seen(log, "ts").collect()} == {1, 3, 4}
     changes = op.compare_logs(log.where("ts < 3"), log.where("ts in (2, 3)")).collect()
     assert [r.change for r in changes] == ["new"]
-    assert [r.nth for r in __import__("foldline.operators.logs", fromlist=["numbered"]).numbered(log.where("ts < 3").withColumn("ts", F.timestamp_seconds("ts")), "ts").orderBy("ts").collect()] == [1, 2]
+    assert [r.nth for r in op.numbered(log.where("ts < 3").withColumn("ts", F.timestamp_seconds("ts")), "ts").orderBy("ts").collect()] == [1, 2]
 
 
 def test_streams(spark, tmp_path):
