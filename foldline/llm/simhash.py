@@ -195,6 +195,30 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
     return links, large
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes as one link from each to the smallest that it is joined with.
+
+    A dense group is found again by many keys, and each would tell it by links of its own; by their smallest nodes they
+    mostly tell the same.
+    """
+    node, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(node))
+    while True:
+        m = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, x, m)
+        np.minimum.at(new, y, m)
+        np.minimum.at(new, low[x], m)
+        np.minimum.at(new, low[y], m)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    far = low != np.arange(len(node))
+    return node[far], node[low[far]]
+
+
 def _words(t: pa.Table, name: str = "node") -> np.ndarray:
     """Fingerprints [row, word] of a table; narrow ones are their own nodes."""
     if "fp" not in t.column_names:
@@ -228,13 +252,14 @@ def linked(fps: DataFrame) -> DataFrame:
     def local(t: pa.Table) -> pa.Table:
         fp, node, key = _words(t), t["node"].to_numpy(), t["k"].to_numpy()
         links, large = _links(key.view(np.uint64), fp)
+        a, b = _stars(node[_cat([x for x, _ in links])], node[_cat([y for _, y in links])])
         out = {
-            "a": _cat([node[x] for x, _ in links] + [node[r] for _, r in large]),
-            "b": _cat([node[y] for _, y in links] + [np.full(len(r), np.uint64(k)).view(np.int64) for k, r in large]),
-            "block": _cat([np.full(len(x), -1) for x, _ in links] + [np.arange(len(r)) // BLOCK for _, r in large]),
+            "a": _cat([a] + [node[r] for _, r in large]),
+            "b": _cat([b] + [np.full(len(r), np.uint64(k)).view(np.int64) for k, r in large]),
+            "block": _cat([np.full(len(a), -1)] + [np.arange(len(r)) // BLOCK for _, r in large]),
         }
         if wide:
-            none = pa.nulls(sum(len(x) for x, _ in links), pa.binary())
+            none = pa.nulls(len(a), pa.binary())
             out["fp"] = pa.chunked_array([none, *(t["fp"].combine_chunks().take(pa.array(r)) for _, r in large)], pa.binary())
         return pa.table(out)
 
@@ -251,7 +276,8 @@ def linked(fps: DataFrame) -> DataFrame:
     def pair(t: pa.Table) -> pa.Table:
         fp, node = _words(t), t["node"].to_numpy()
         got = list(_forest(fp) if t["i"][0].as_py() == t["j"][0].as_py() else _forest_between(fp, t["first"].to_numpy(zero_copy_only=False)))
-        return pa.table({"a": _cat([node[x] for x, _ in got]), "b": _cat([node[y] for _, y in got])})
+        a, b = _stars(node[_cat([x for x, _ in got])], node[_cat([y for _, y in got])])
+        return pa.table({"a": a, "b": b})
 
     return links.union(dealt.groupBy("b", "i", "j").applyInArrow(pair, "a bigint, b bigint"))
 
