@@ -12,8 +12,9 @@ from foldline.functions import engine
 from foldline.functions import vocabulary as v
 from foldline.functions.lexer import Lexer
 
-#: Statements that a worker remembers with their digests; logs repeat themselves. Longer ones are not kept.
-REMEMBERED, REMEMBERED_BYTES = 20_000, 4_096
+#: Token strings that a worker remembers with their digests: statements that differ in literals only share one. Longer
+#: ones are not kept.
+REMEMBERED, REMEMBERED_TOKENS = 20_000, 500
 
 
 @dataclass(frozen=True)
@@ -35,25 +36,35 @@ _RAW = f"struct<hash:string,text:binary,fault:{_FAULT}>"
 
 
 def _digest_udf(options: Options):
-    kept: dict[bytes, dict] = {}
+    kept: dict[tuple, tuple[str, bytes]] = {}
 
-    def one(sql: bytes) -> dict:
-        out = kept.get(sql)
+    def finished(chars: str, names: list[bytes], ended: bool) -> tuple[str, bytes]:
+        key = (chars, ended, *names)
+        out = kept.get(key)
         if out is None:
-            d = engine.compute(sql, options.version, options.ansi_quotes, options.no_backslash_escapes, options.max_length)
-            fault = None if d.fault is None else {"position": d.fault.position, "message": d.fault.message, "input": d.fault.input}
-            out = {"hash": d.hash, "text": d.text, "fault": fault}
-            if len(sql) <= REMEMBERED_BYTES:
+            out = engine.finish(chars, names, ended, options.version, options.max_length)
+            if len(chars) <= REMEMBERED_TOKENS:
                 if len(kept) >= REMEMBERED:
                     kept.clear()
-                kept[sql] = out
+                kept[key] = out
         return out
 
-    arrow = pa.struct([("hash", pa.string()), ("text", pa.binary()), ("fault", pa.struct([("position", pa.int32()), ("message", pa.string()), ("input", pa.binary())]))])
+    fault_type = pa.struct([("position", pa.int32()), ("message", pa.string()), ("input", pa.binary())])
 
     @F.arrow_udf(_RAW)
     def digest(sql: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else one(x) for x in sql.to_pylist()], arrow)
+        hashes, texts, faults = [], [], []
+        for x in sql.to_pylist():
+            if x is None:
+                hashes.append(None), texts.append(None), faults.append(None)  # noqa: B018
+                continue
+            chars, names, lexer = engine.scan(x, options.version, options.ansi_quotes, options.no_backslash_escapes)
+            h, text = finished(chars, names, not lexer.aborted)
+            f = lexer.fault
+            hashes.append(h), texts.append(text)  # noqa: B018
+            faults.append(None if f is None else {"position": f.position, "message": f.message, "input": f.input})
+        arrays = [pa.array(hashes, pa.string()), pa.array(texts, pa.binary()), pa.array(faults, fault_type)]
+        return pa.StructArray.from_arrays(arrays, names=["hash", "text", "fault"], mask=sql.is_null())
 
     return digest
 
