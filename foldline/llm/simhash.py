@@ -6,9 +6,8 @@ of l consecutive segments differs in at most l * t / m bits: chains keep a propo
 Narrow fingerprints, 64 bits in five segments, link at four bits. Candidates are those that may agree on a chain of three
 segments, which misses none; the whole chain condition prunes them before all bits count.
 
-Wide fingerprints, 512 bits in eight segments, link at 96 bits, which word shingles of similarity 0.8 keep to: four bits of
-64 would be a similarity of about 0.97. Candidates agree on a window of 16 bits; two texts of similarity 0.8 share one of
-the 64 windows with a probability of 0.97 (tests/llm/test_simhash.py measures it), more similar ones more surely.
+Wide fingerprints, 512 bits in eight segments, link at 96 bits and meet by windows of 16 bits. They estimate the similarity
+of shingles and miss some pairs, so the pipeline's stage (``keep_one``) counts shingles instead: see jaccard.py.
 """
 
 from __future__ import annotations
@@ -17,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldline.llm.common import buckets, scratch
 from foldline.llm.components import components
+from foldline.llm.jaccard import redundant, shingle_hashes
 from foldline.llm.substring import mixed
 
 WORDS, BITS, SEGMENTS = 4, 4, 5
@@ -32,21 +31,6 @@ WIDE_BITS, WIDE_WORDS, WINDOW, STRIDE = 96, 8, 16, 8
 BLOCK = 16_384
 
 
-def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
-    """XXH64 of each shingle of a text whose A-Z are lower-cased, repeats included; long texts come in stretches."""
-    w = text.lower().split()
-    if not w:
-        return
-    joined = b" ".join(w)
-    n = np.fromiter(map(len, w), np.int64, len(w))
-    ends = np.cumsum(n + 1) - 1
-    k = max(len(w) - words + 1, 1)
-    starts, stops = (ends - n)[:k].tolist(), ends[min(words, len(w)) - 1 :].tolist()
-    h = xxhash.xxh64_intdigest
-    for at in range(0, k, 1 << 13):
-        yield np.array([h(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 13)], stops[at : at + (1 << 13)], strict=True)], "<u8")
-
-
 def fingerprint(text: bytes, words: int = WORDS, wide: bool = False) -> np.ndarray:
     """Words of 64 bits, one or eight; a bit is set if it is in over half of the shingles' hashes."""
     width = WIDE_WORDS if wide else 1
@@ -299,23 +283,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-def redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id): rows whose id is not the smallest of those that wide fingerprints link them to. Ids are distinct longs."""
-    rows = scratch(fingerprints(docs, id_col, text_col, words, wide=True))
-    # A copy of a fingerprint is told from the first by 128 bits; the fingerprint itself goes on with the first only.
-    rows = rows.withColumns({"_a": F.xxhash64(F.lit(1), "fp"), "_b": F.xxhash64(F.lit(2), "fp")})
-    first = rows.groupBy("_a", "_b").agg(F.min(id_col).alias("node"))
-    later = rows.select(id_col, "_a", "_b").join(first, ["_a", "_b"]).where(F.col(id_col) != F.col("node")).select(id_col)
-    distinct = scratch(rows.select(id_col, "fp").join(later, id_col, "left_anti").select(F.col(id_col).alias("node"), "fp"))
-    comp = components(linked(distinct))
-    return later.union(comp.where("node <> component").select("node"))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows, all columns unchanged, without those that are near-duplicates of a row that comes before: smallest id first.
 
-    Near are texts whose wide fingerprints link, at a shingle similarity of 0.8 or more, and what chains of links join;
-    exactly one row of each such group stays. Where ids repeat or are null, rows are ordered by id, null last, and text.
+    Near are texts whose sets of shingles have a similarity of 0.8 or more, counted and not estimated, and what chains of
+    such pairs join; exactly one row of each such group stays. Where ids repeat or are null, rows are ordered by id, null
+    last, and text.
     """
     ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     if ids.where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).isEmpty():
