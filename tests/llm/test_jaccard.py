@@ -44,3 +44,37 @@ def test_pairs_below_the_limit_stay(spark):
     assert simhash.keep_one(documents(spark, texts)).count() == len(texts)
     s = [np.arange(n, dtype=np.uint64) for n in (80, 79, 100)]
     assert jaccard.similar(s[0], s[2]) and not jaccard.similar(s[1], s[2])  # the limit itself links
+
+
+def test_pairs_at_the_limit_and_short_texts_go(spark):
+    rng = random.Random(12)
+    pairs = []
+    while len(pairs) < 60:  # long texts at 0.80 to 0.82
+        w = words(rng, 400, 4000).split()
+        other = with_tail(rng, w, rng.uniform(0.09, 0.11))
+        if 0.8 <= similarity(" ".join(w), other) <= 0.82:
+            pairs.append((" ".join(w), other))
+    for n in range(8, 21):  # 4 shingles against 5, to 16 against 17
+        for _ in range(8):
+            w = words(rng, n, 100_000).split()
+            pairs.append((" ".join(w), " ".join([*w, "more"])))
+    assert all(similarity(a, b) >= 0.8 for a, b in pairs)
+    texts = [a for a, _ in pairs] + [b for _, b in pairs]
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()) == list(range(len(pairs)))
+
+
+@pytest.mark.parametrize(("few", "block"), [(jaccard.FEW, jaccard.BLOCK), (2, 7)])
+def test_same_as_all_pairs(spark, monkeypatch, few, block):
+    """Groups around centres, chains between them, common passages; small limits send all keys the long way."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(13)
+    passage, texts = words(rng, 60, 4000).split(), []
+    for _ in range(12):
+        centre = words(rng, rng.randrange(8, 120), 4000).split()
+        for _ in range(rng.randrange(1, 40)):
+            w = [x if rng.random() > 0.02 else f"n{rng.random()}" for x in centre]
+            texts.append(" ".join(w[: len(w) - rng.randrange(len(w) // 5)] + rng.choice([[], passage])))
+    rng.shuffle(texts)
+    kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect())
+    assert kept == brute_kept(texts) and 12 < len(kept) < len(texts)
