@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, local mode makes one; a cluster can't."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^-]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir names no folder, and with master {master} executors would not see one made here")
         named = tempfile.mkdtemp(prefix="foldline-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -85,11 +91,67 @@ def unkeyed(rows: DataFrame | None, results: DataFrame, id_col: str) -> DataFram
     return rows.join(results, "uid").drop("uid").withColumnRenamed("id", id_col)
 
 
+#: A key that more than one row in so many has is heavy; so there are fewer heavy keys than this, whatever the rows.
+HEAVY = 2_000
+
+
+def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with what is known of their keys: ``groups`` has a row for each of ``keys``, with its number of rows as n.
+
+    Rows of heavy keys are joined by broadcast, of fewer than HEAVY keys, and go through the shuffle of the others by the
+    hash of ``spread``; so no task gets all rows of one key. The column n goes. Rows whose keys are null find nothing.
+    """
+    groups = scratch(groups)
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    facts = [c for c in groups.columns if c not in (*keys, "n")]
+    heavy = groups.where(F.col("n") * HEAVY > total).select(*keys, F.struct(*facts).alias("_h"))
+    light = groups.where(F.col("n") * HEAVY <= total).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*facts).alias("_l"))
+    told = rows.join(F.broadcast(heavy), keys, "left")
+    away = [F.when(F.col("_h").isNull(), F.col(keys[0])).otherwise(F.xxhash64(spread))] + [F.when(F.col("_h").isNull(), F.col(k)) for k in keys[1:]]
+    told = told.withColumns({f"_r{i}": c for i, c in enumerate(away)})
+    on = [F.col(f"_r{i}") == F.col(f"_k{i}") for i in range(len(keys))] + [F.col("_h").isNull()]
+    out = told.join(light, on, "left").select(*rows.columns, F.coalesce("_h", "_l").alias("_f"))
+    return (out.where(F.col("_f").isNotNull()) if how == "inner" else out).select(*rows.columns, *(F.col(f"_f.{c}").alias(c) for c in facts))
+
+
 def copies(units: DataFrame) -> DataFrame:
     """(uid, first, many): whether a unit is the first with its text, and whether another has it too.
 
     Texts are told apart by 128 bits and stay where they are; equal ones are counted with map-side aggregation.
     """
     h = units.select("uid", F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b"))
-    low = h.groupBy("a", "b").agg(F.min("uid").alias("low"), (F.count(F.lit(1)) > 1).alias("many"))
-    return h.join(low, ["a", "b"]).select("uid", (F.col("uid") == F.col("low")).alias("first"), "many")
+    low = h.groupBy("a", "b").agg(F.min("uid").alias("low"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 1).alias("many"))
+    return join_back(h, low, ["a", "b"], "uid").select("uid", (F.col("uid") == F.col("low")).alias("first"), "many")
+
+
+def dealt(bucket: np.ndarray, columns: list[np.ndarray], own_bucket: np.ndarray, own: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket with the bytes of its items: ``columns`` as c0, c1, ..., and ``own`` as o0, o1, ...
+
+    What a task knows for sure goes as ``own``: it only passes through a bucket, and any will do.
+    """
+    names = np.unique(np.r_[bucket, own_bucket])
+    out = [pa.array(names.astype(np.int32))]
+    for b, cols in ((bucket, columns), (own_bucket, own)):
+        order = np.argsort(b, kind="stable")
+        cuts = np.r_[np.searchsorted(b[order], names), len(order)]
+        out += [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (c[order] for c in cols)]
+    return pa.RecordBatch.from_arrays(out, names=["bucket", *(f"c{i}" for i in range(len(columns))), *(f"o{i}" for i in range(len(own)))])
+
+
+def read_dealt(t: pa.Table, name: str, dtype: type) -> np.ndarray:
+    """A column of ``dealt`` rows as one array."""
+    return np.frombuffer(b"".join(x or b"" for x in t[name].to_pylist()), dtype)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def anywhere(parts: int, *of: np.ndarray) -> np.ndarray:
+    """A bucket for each item by a hash of all that it is: items that share a part of it spread."""
+    h = np.zeros(len(of[0]), np.uint64)
+    for x in of:
+        h = mixed(h + x.astype(np.int64, copy=False).view(np.uint64) if x.dtype != np.uint64 else h + x)
+    return (h % np.uint64(parts)).astype(np.int64)

@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import buckets, scratch
+from foldline.llm.common import buckets, mixed, scratch
 from foldline.llm.components import components
 from foldline.llm.jaccard import redundant, shingle_hashes
-from foldline.llm.substring import mixed
 
 WORDS, BITS, SEGMENTS = 4, 4, 5
 EDGES = (0, 13, 26, 39, 52, 64)

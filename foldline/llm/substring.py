@@ -7,7 +7,6 @@ is. Where an anchor is repeated, the windows around it are compared whole.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import buckets, copies, keyed, unkeyed
+from foldline.llm.common import anywhere, buckets, copies, dealt, keyed, mixed, read_dealt, unkeyed
 
 #: Words in a window; the period and its cover: every residue is a difference of two of its members.
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
@@ -27,10 +26,10 @@ _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.ui
 
 
 class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 11)
+        h = self[word] = xxhash.xxh3_128_digest(word, 11)
         return h
 
 
@@ -38,13 +37,8 @@ _word_hash = _WordHash()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    """Two independent 64-bit hashes of each word, as rows."""
+    return np.frombuffer(b"".join(map(_word_hash.__getitem__, words)), np.uint64).reshape(-1, 2).T
 
 
 def sequence_hashes(h: np.ndarray, starts: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -63,23 +57,6 @@ def anchors(h: np.ndarray, window: int, period: int, cover: tuple[int, ...]) ->
     return at, sequence_hashes(h, at, n)
 
 
-def _deal(bucket: np.ndarray, columns: list[np.ndarray], own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket with the bytes of its items; ``own`` is known already and passes through one of the rows."""
-    order = np.argsort(bucket, kind="stable")
-    names, starts = np.unique(bucket[order], return_index=True)
-    if not len(names):
-        names, starts = np.zeros(1, bucket.dtype), np.zeros(1, np.int64)
-    ends = np.r_[starts[1:], len(order)]
-    sent = [[c[order[a:b]].tobytes() for a, b in zip(starts, ends, strict=True)] for c in columns]
-    passed = [[c.tobytes()] + [b""] * (len(names) - 1) for c in own]
-    arrays = [pa.array(names.astype(np.int32)), *(pa.array(x, pa.binary()) for x in sent + passed)]
-    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", *(f"c{i}" for i in range(len(columns))), *(f"o{i}" for i in range(len(own)))])
-
-
-def _read(t: pa.Table, name: str, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(t[name].to_pylist()), dtype)
-
-
 def _anchor_rows(parts: int, window: int, period: int, cover: tuple[int, ...]):
     """Texts to anchors: c0, c1 hashes that are single so far and their units, c2 hashes seen twice; o0, o1 the units and hashes of those."""
 
@@ -97,7 +74,7 @@ def _anchor_rows(parts: int, window: int, period: int, cover: tuple[int, ...]):
         bucket = np.concatenate([h1, h2]) >> np.uint64(20)
         bucket = (bucket % np.uint64(parts)).astype(np.int64)
         flag = np.r_[np.zeros(len(h1), np.int8), np.ones(len(h2), np.int8)]
-        yield from _deal(bucket, [np.concatenate([h1, h2]), np.r_[u1, np.zeros(len(h2), np.int64)], flag], [u[many], h[many]])
+        yield dealt(bucket, [np.concatenate([h1, h2]), np.r_[u1, np.zeros(len(h2), np.int64)], flag], anywhere(parts, u[many], h[many]), [u[many], h[many]])
 
     def run(batches):
         hs, us, n = [], [], 0
@@ -106,7 +83,7 @@ def _anchor_rows(parts: int, window: int, period: int, cover: tuple[int, ...]):
                 words = text.as_py().split()
                 if len(words) < window:
                     continue
-                _, a = anchors(word_hashes(words), window, period, cover)
+                _, a = anchors(word_hashes(words)[0], window, period, cover)
                 hs.append(a), us.append(np.full(len(a), uid, np.int64))  # noqa: B018
                 n += len(a)
                 if n >= GATHERED:
@@ -120,14 +97,14 @@ def _anchor_rows(parts: int, window: int, period: int, cover: tuple[int, ...]):
 
 def _repeated(t: pa.Table) -> pa.Table:
     """(uid, h): the anchors of each unit that stand elsewhere too."""
-    h, u, flag = _read(t, "c0", np.uint64), _read(t, "c1", np.int64), _read(t, "c2", np.int8)
+    h, u, flag = read_dealt(t, "c0", np.uint64), read_dealt(t, "c1", np.int64), read_dealt(t, "c2", np.int8)
     order = np.argsort(h)
     h, u, flag = h[order], u[order], flag[order]
     fresh = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
     group = np.cumsum(fresh) - 1
     n = np.bincount(group, 1 + flag) if len(h) else np.zeros(0)
     told = (n[group] > 1) & (flag == 0) if len(h) else np.zeros(0, bool)
-    out_u, out_h = np.r_[u[told], _read(t, "o0", np.int64)], np.concatenate([h[told], _read(t, "o1", np.uint64)])
+    out_u, out_h = np.r_[u[told], read_dealt(t, "o0", np.int64)], np.concatenate([h[told], read_dealt(t, "o1", np.uint64)])
     return pa.table({"uid": out_u, "h": out_h.view(np.int64)})
 
 
@@ -143,21 +120,21 @@ def _window_rows(parts: int, window: int, period: int, cover: tuple[int, ...]):
         a, b, u, s = a[first], b[first], u[first], s[first]
         by_place = np.lexsort((s, u))
         a, b, u, s = a[by_place], b[by_place], u[by_place], s[by_place]
-        yield from _deal(((a >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), [a, b, u, s], [late_u, late_s])
+        yield dealt(((a >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), [a, b, u, s], anywhere(parts, late_u, late_s), [late_u, late_s])
 
     def run(batches):
         held, n = ([], [], [], []), 0
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
                 h = word_hashes(text.as_py().split())
-                at, a = anchors(h, window, period, cover)
+                at, a = anchors(h[0], window, period, cover)
                 at = at[np.isin(a, np.asarray(batch.column(2)[i].values, np.int64).view(np.uint64))]
-                edge = np.zeros(len(h) + 1, np.int64)
+                edge = np.zeros(h.shape[1] + 1, np.int64)
                 np.add.at(edge, np.maximum(at - period + 1, 0), 1)
                 np.add.at(edge, at + 1, -1)
-                starts = np.flatnonzero(np.cumsum(edge)[: max(len(h) - window + 1, 0)] > 0)
-                held[0].append(sequence_hashes(h, starts, window))
-                held[1].append(sequence_hashes(mixed(h), starts, window, 31))
+                starts = np.flatnonzero(np.cumsum(edge)[: max(h.shape[1] - window + 1, 0)] > 0)
+                held[0].append(sequence_hashes(h[0], starts, window))
+                held[1].append(sequence_hashes(h[1], starts, window, 31))
                 held[2].append(np.full(len(starts), batch.column(0)[i].as_py(), np.int64))
                 held[3].append(starts.astype(np.int32))
                 n += len(starts)
@@ -172,11 +149,11 @@ def _window_rows(parts: int, window: int, period: int, cover: tuple[int, ...]):
 
 def _later(t: pa.Table) -> pa.Table:
     """(uid, start): windows whose words start earlier too."""
-    a, b, u, s = _read(t, "c0", np.uint64), _read(t, "c1", np.uint64), _read(t, "c2", np.int64), _read(t, "c3", np.int32)
+    a, b, u, s = read_dealt(t, "c0", np.uint64), read_dealt(t, "c1", np.uint64), read_dealt(t, "c2", np.int64), read_dealt(t, "c3", np.int32)
     order = np.lexsort((s, u, b, a))
     a, b, u, s = a[order], b[order], u[order], s[order]
     late = ~np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    return pa.table({"uid": np.r_[u[late], _read(t, "o0", np.int64)], "start": np.r_[s[late], _read(t, "o1", np.int32)]})
+    return pa.table({"uid": np.r_[u[late], read_dealt(t, "o0", np.int64)], "start": np.r_[s[late], read_dealt(t, "o1", np.int32)]})
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -199,15 +176,15 @@ def _with_removed(docs: DataFrame, id_col: str, text_col: str, window: int, peri
     told = found.groupBy("uid").agg(F.collect_set("h").alias("hs"))
     kept_copies = copies(units)
     # Texts are dealt by unit once: both joins below read the same exchange.
-    dealt = texts.repartition(parts, "uid")
+    spread = texts.repartition(parts, "uid")
     # Later copies need no windows: all of theirs start earlier in the first.
     firsts = told.join(kept_copies.where("first"), "uid", "left_semi")
     # Sorted, so that a task that runs again after a loss sends on exactly what it sent before.
-    whole = dealt.join(firsts.hint("shuffle_hash"), "uid").select("uid", "text", "hs").sortWithinPartitions("uid")
+    whole = spread.join(firsts.hint("shuffle_hash"), "uid").select("uid", "text", "hs").sortWithinPartitions("uid")
     windows = whole.mapInArrow(_window_rows(parts, window, period, cover), blobs(4, 2)).groupBy("bucket").applyInArrow(_later, "uid long, start int")
     gone = windows.groupBy("uid").agg(F.collect_set("start").alias("starts"))
     facts = kept_copies.select("uid", (~F.col("first")).alias("copy")).join(gone, "uid", "left")
-    return rows, dealt.join(facts.hint("shuffle_hash"), "uid").select("uid", "text", "copy", "starts")
+    return rows, spread.join(facts.hint("shuffle_hash"), "uid").select("uid", "text", "copy", "starts")
 
 
 def _gone(words: list[bytes], copy: bool, starts: pa.Scalar, window: int) -> np.ndarray:

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from foldline.llm import suffix
+from foldline.llm import common, suffix
 from tests.llm.util import documents, words
 
 
@@ -64,22 +64,62 @@ def test_long_texts_are_looked_at_in_stretches(monkeypatch):
     parts = list(suffix.minimizers(text, 400, 64))
     assert len(parts) == 7
     # every window has the same minimizer either way
-    of = lambda m: np.repeat(m[2].astype(int), (m[4] - m[3] + 1).astype(int)).tolist()
+    of = lambda m: np.repeat(m[3].astype(int), (m[5] - m[4] + 1).astype(int)).tolist()
     assert of(np.concatenate(parts, axis=1)) == of(whole) and len(of(whole)) == 5000 - 399
 
 
-def test_run_index_against_sorted_suffixes():
+def test_run_index_against_all_suffixes():
     rng = np.random.default_rng(1)
     for n, k in ((1, 1), (50, 1), (200, 2), (400, 4)):
-        piece = rng.integers(0, k, n).astype(np.uint8)
-        text = np.concatenate([piece, piece[: n // 2], piece])
-        b = text.tobytes()
-        index = suffix.RunIndex(text)
-        order = sorted(range(len(b)), key=lambda i: b[i:])
-        assert index.order.tolist() == order
-        agree = index.agreements(1 << 30)
-        for r, i in enumerate(order):
-            x, y = b[i:], b[order[r - 1] :] if r else b""
-            want = next((j for j in range(min(len(x), len(y))) if x[j] != y[j]), min(len(x), len(y)))
-            assert agree[i] == want
-        assert len(index.heads) <= len(b)
+        piece = rng.integers(0, k, n).astype(np.uint16)
+        gap = np.full(1, suffix.GAP, np.uint16)
+        text = np.concatenate([piece, piece[: n // 2], gap, piece, gap, piece[n // 3 :], gap])
+        index = suffix.RunIndex(text, 1 << 30)
+        x = text.tolist()
+        order = sorted(range(len(x)), key=lambda i: [-1 if c == suffix.GAP else c for c in x[i:]])
+        assert suffix._suffix_order(text).tolist() == order
+        before = [x[i - 1] if i else -1 for i in order]
+        assert np.repeat(index.symbol, index.length).tolist() == before
+        longest = [[0] * (len(x) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(x) - 1, -1, -1):
+                longest[i][j] = 1 + longest[i + 1][j + 1] if x[i] == x[j] and x[i] != suffix.GAP else 0
+        assert index.statistics().tolist() == [max(longest[i][j] for j in range(len(x)) if j != i) for i in range(len(x))]
+
+
+def test_runs_and_not_text_bound_the_index():
+    rng = np.random.default_rng(2)
+    piece = rng.integers(0, 20, 2_000).astype(np.uint16)
+    sizes = []
+    for times in (4, 40):
+        parts = []
+        for _ in range(times):
+            p = piece.copy()
+            p[rng.integers(0, 2_000, 2)] = rng.integers(0, 20, 2)
+            parts += [p, np.full(1, suffix.GAP, np.uint16)]
+        index = suffix.RunIndex(np.concatenate(parts), 400)
+        kept = [v for v in vars(index).values() if isinstance(v, np.ndarray)]
+        sizes.append(sum(len(v) for v in kept))
+        assert max(map(len, kept)) == len(index.symbol) < len(np.concatenate(parts)) / times * 2
+    assert sizes[1] < 3 * sizes[0]  # for ten times the text
+
+
+def test_texts_that_confuse_sums_modulo_a_power_of_two():
+    a, b = b"a", b"b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    x, y = (np.frombuffer(t, np.uint8) for t in (a, b))
+    s, e = np.array([0]), np.array([len(x)])
+    assert suffix.Checked(x)(s, e) != suffix.Checked(y)(s, e)
+    whole = np.concatenate([y[:77], x])
+    assert suffix.Checked(x)(s, e) == suffix.Checked(whole)(s + 77, e + 77) and suffix.Rolling(x)(s, e) == suffix.Rolling(whole)(s + 77, e + 77)
+
+
+def test_known_items_spread_over_buckets():
+    """What a task knows already passes through buckets evenly, though it shares a text or a minimizer."""
+    u, s = np.zeros(10_000, np.int64), np.arange(10_000)
+    n = np.bincount(common.anywhere(16, u, s), minlength=16)
+    assert n.max() < 1.2 * n.mean()
+    some = common.dealt(np.array([3, 1, 3]), [np.arange(3)], common.anywhere(16, u, s), [u, s]).to_pydict()
+    assert sorted(some["bucket"]) == list(range(16)) and max(map(len, some["o1"])) < 2 * 8 * 10_000 / 16
+    assert dict(zip(some["bucket"], some["c0"], strict=True))[3] == np.array([0, 2]).tobytes()
