@@ -11,6 +11,7 @@ from foldline.functions.columns import (
     statement_tokens,
     truncate_bytes,
     unquote_identifier,
+    without_literals,
 )
 
 __all__ = [
@@ -24,4 +25,5 @@ __all__ = [
     "statement_tokens",
     "truncate_bytes",
     "unquote_identifier",
+    "without_literals",
 ]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -12,9 +14,8 @@ from foldline.functions import engine
 from foldline.functions import vocabulary as v
 from foldline.functions.lexer import Lexer
 
-#: Token strings that a worker remembers with their digests: statements that differ in literals only share one. Longer
-#: ones are not kept.
-REMEMBERED, REMEMBERED_TOKENS = 20_000, 500
+#: Statements that a worker remembers with their digests, and how many bytes the longest of them has.
+REMEMBERED, REMEMBERED_BYTES = 20_000, 2_000
 
 
 @dataclass(frozen=True)
@@ -31,40 +32,74 @@ class Options:
             raise ValueError(f"unknown version {self.version!r}; there are {', '.join(v.VERSIONS)}")
 
 
+_NAME = r"A-Za-z0-9_$\x80-\x{10FFFF}"
+_SINGLE = {False: r"'(?:[^'\\\x00]++|''|\\[^\x00])*+'", True: r"'(?:[^'\x00]++|'')*+'"}
+#: A number that no name, dot, at sign or quote touches, and that is no exponent.
+_LONE_NUMBER = rf"(?<![{_NAME}.@'\x22`])(?<![0-9.][eE][+-])[0-9]++(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+(?![{_NAME}.])"
+
+
+def _quoted(plain_backslash: bool, ansi_quotes: bool) -> str:
+    """Strings before which no name stands, as a letter there may change what they are, nor another string."""
+    single = _SINGLE[plain_backslash]
+    either = single if ansi_quotes else f"(?:{single}|{single.replace(chr(39), chr(92) + 'x22')})"
+    return f"(?<![{_NAME}'\\x22]){either}"
+
+
+def without_literals(sql: Column | str, options: Options = Options()) -> Column:  # noqa: B008
+    """A statement with the same digest in which numbers are 0 and strings 's', as far as that is sure; JVM-side.
+
+    Statements that differ in literals only become one, which is then read once. A statement is left alone as a whole
+    if it has comments, hints, names in quotes, dollar signs, control characters, or a quote that opens a string only in
+    part: there a digit may be no number, or reading may end in an error that tells where. Patterns are possessive.
+    """
+    s = F.col(sql) if isinstance(sql, str) else sql
+    s = s.cast("string")
+    text = _quoted(options.no_backslash_escapes, options.ansi_quotes)
+    # What is not valid UTF-8 shows as U+FFFD here and must stay what it is.
+    plain = rf"\A(?:[A-Za-z0-9_\x80-\x{{FFFC}}\x{{FFFE}}-\x{{10FFFF}} \t\n\r\x0b\f.,()=<>+*%;&|^~!:?@\[\]{{}}]++|-(?!-)|/(?!\*)|{text})*+\z"
+    return F.when(s.rlike(plain), F.regexp_replace(F.regexp_replace(s, text, "'s'"), _LONE_NUMBER, "0")).otherwise(s)
+
+
 _FAULT = "struct<position:int,message:string,input:binary>"
 _RAW = f"struct<hash:string,text:binary,fault:{_FAULT}>"
+_RAW_ARROW = pa.struct([("hash", pa.string()), ("text", pa.binary()), ("fault", pa.struct([("position", pa.int32()), ("message", pa.string()), ("input", pa.binary())]))])
+
+
+class _Remembered(dict):
+    """Digests of statements, as rows; and of their tokens, for statements that differ in comments and the like."""
+
+    def __init__(self, options: Options) -> None:
+        super().__init__()
+        self.options = options
+        self.of_tokens: dict[tuple, tuple[str, bytes]] = {}
+
+    def __missing__(self, sql: bytes) -> dict:
+        o = self.options
+        chars, names, lexer = engine.scan(sql, o.version, o.ansi_quotes, o.no_backslash_escapes)
+        key = (chars, lexer.aborted, *names)
+        done = self.of_tokens.get(key) or engine.finish(chars, names, not lexer.aborted, o.version, o.max_length)
+        f = lexer.fault
+        out = {"hash": done[0], "text": done[1], "fault": f and {"position": f.position, "message": f.message, "input": f.input}}
+        if len(sql) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+                self.of_tokens.clear()
+            self[sql], self.of_tokens[key] = out, done
+        return out
 
 
-def _digest_udf(options: Options):
-    kept: dict[tuple, tuple[str, bytes]] = {}
-
-    def finished(chars: str, names: list[bytes], ended: bool) -> tuple[str, bytes]:
-        key = (chars, ended, *names)
-        out = kept.get(key)
-        if out is None:
-            out = engine.finish(chars, names, ended, options.version, options.max_length)
-            if len(chars) <= REMEMBERED_TOKENS:
-                if len(kept) >= REMEMBERED:
-                    kept.clear()
-                kept[key] = out
-        return out
+def _by_distinct(values: pa.Array, one: Callable[[bytes], object], kind: pa.DataType) -> pa.Array:
+    """``one`` of each distinct value of a column, at the places of that value; null stays null."""
+    coded = values.cast(pa.binary()).dictionary_encode()
+    return pa.array([one(x) for x in coded.dictionary.to_pylist()], kind).take(coded.indices)
+
 
-    fault_type = pa.struct([("position", pa.int32()), ("message", pa.string()), ("input", pa.binary())])
+def _digest_udf(options: Options):
+    known = _Remembered(options)
 
     @F.arrow_udf(_RAW)
     def digest(sql: pa.Array) -> pa.Array:
-        hashes, texts, faults = [], [], []
-        for x in sql.to_pylist():
-            if x is None:
-                hashes.append(None), texts.append(None), faults.append(None)  # noqa: B018
-                continue
-            chars, names, lexer = engine.scan(x, options.version, options.ansi_quotes, options.no_backslash_escapes)
-            h, text = finished(chars, names, not lexer.aborted)
-            f = lexer.fault
-            hashes.append(h), texts.append(text)  # noqa: B018
-            faults.append(None if f is None else {"position": f.position, "message": f.message, "input": f.input})
-        arrays = [pa.array(hashes, pa.string()), pa.array(texts, pa.binary()), pa.array(faults, fault_type)]
-        return pa.StructArray.from_arrays(arrays, names=["hash", "text", "fault"], mask=sql.is_null())
+        return _by_distinct(sql, known.__getitem__, _RAW_ARROW)
 
     return digest
 
@@ -73,10 +108,10 @@ def statement_digest(sql: Column | str, options: Options = Options()) -> Column:
     """struct(hash, text, error) of a statement; error is null, or a struct(position, message, input).
 
     A statement that cannot be read to its end has the digest of what was read, and the error. Null gives null. Lengths
-    and positions count bytes; a text that is cut within a character is not valid UTF-8, as the rule asks for.
+    and positions count bytes; a text that is cut within a character is not valid UTF-8, as the rule asks for. Literals
+    go JVM-side where that is safe, and each distinct statement of a batch is read once.
     """
-    col = F.col(sql) if isinstance(sql, str) else sql
-    raw = _digest_udf(options)(col.cast("binary"))
+    raw = _digest_udf(options)(without_literals(sql, options).cast("binary"))
     fault = raw["fault"]
     error = F.when(fault.isNotNull(), F.struct(fault["position"].alias("position"), fault["message"].alias("message"), fault["input"].cast("string").alias("input")))
     return F.when(raw.isNotNull(), F.struct(raw["hash"].alias("hash"), raw["text"].cast("string").alias("text"), error.alias("error")))
@@ -154,29 +189,38 @@ def truncate_bytes(text: Column | str, most: int) -> Column:
 
 
 def register(spark: SparkSession, options: Options = Options()) -> None:  # noqa: B008
-    """SQL functions statement_digest(sql), which is the hash, statement_digest_text(sql), statement_digest_json(sql) and the table function tokenize_sql(sql)."""
+    """SQL functions on a statement and, where it is given, a server version:
 
-    def udf(name: str, f) -> None:
-        @F.arrow_udf("string")
-        def one(sql: pa.Array) -> pa.Array:
-            return pa.array([None if x is None else f(x.encode()) for x in sql.to_pylist()], pa.string())
+    statement_digest_all, a struct (hash, text, json, error) from one reading; statement_digest, which is its hash;
+    statement_digest_text; statement_digest_json; and the table function tokenize_sql(sql). A version that is not known
+    reads as the options' own.
+    """
+    kept: dict[str, _Remembered] = {}
+
+    def read(sql: bytes, version: str | None) -> dict:
+        version = version if version in v.KEYWORDS else options.version
+        if version not in kept:
+            kept[version] = _Remembered(replace(options, version=version))
+        raw = kept[version][sql]
+        text, f = raw["text"].decode("utf-8", "replace"), raw["fault"]
+        error = engine.fault_text(engine.LexFault(f["position"], f["message"], f["input"])) if f else None
+        said = {"error": error} if error else {"text": text, "hash": raw["hash"]}
+        return {"hash": raw["hash"], "text": text, "error": error, "json": escape_html(json.dumps(said, ensure_ascii=False, separators=(",", ":")))}
+
+    def udf(name: str, returns: str, kind: pa.DataType, of: Callable[[dict], object]) -> None:
+        @F.arrow_udf(returns)
+        def one(*args: pa.Array) -> pa.Array:
+            if len(args) == 1:
+                return _by_distinct(args[0], lambda x: of(read(x, None)), kind)
+            rows = zip(args[0].cast(pa.binary()).to_pylist(), args[1].to_pylist(), strict=True)
+            return pa.array([None if x is None else of(read(x, version)) for x, version in rows], kind)
 
         spark.udf.register(name, one)
 
-    def compute(sql: bytes) -> engine.Digest:
-        return engine.compute(sql, options.version, options.ansi_quotes, options.no_backslash_escapes, options.max_length)
-
-    udf("statement_digest", lambda x: compute(x).hash)
-    udf("statement_digest_text", lambda x: compute(x).text.decode("utf-8", "replace"))
-
-    def as_json(x: bytes) -> str:
-        import json
-
-        d = compute(x)
-        out = {"error": engine.fault_text(d.fault)} if d.fault else {"text": d.text.decode("utf-8", "replace"), "hash": d.hash}
-        return escape_html(json.dumps(out, ensure_ascii=False, separators=(",", ":")))
-
-    udf("statement_digest_json", as_json)
+    fields = ("hash", "text", "json", "error")
+    udf("statement_digest_all", ", ".join(f"{f} string" for f in fields), pa.struct([(f, pa.string()) for f in fields]), lambda d: d)
+    for name, field in (("statement_digest", "hash"), ("statement_digest_text", "text"), ("statement_digest_json", "json")):
+        udf(name, "string", pa.string(), lambda d, field=field: d[field])
 
     @F.udtf(returnType="type int, start int, end int, text string")
     class TokenizeSql:

@@ -24,9 +24,12 @@ def first_seen(log: DataFrame, ts_col: str, digest_col: str = "digest") -> DataF
     return low.select(digest_col, "_first.*")
 
 
-def numbered(log: DataFrame, ts_col: str, digest_col: str = "digest") -> DataFrame:
-    """``log`` with each row's number within its digest and the seconds since the one before."""
-    w = Window.partitionBy(digest_col).orderBy(ts_col)
+def numbered(log: DataFrame, ts_col: str, digest_col: str = "digest", order: tuple[str, ...] = ()) -> DataFrame:
+    """``log`` with each row's number within its digest and the seconds since the one before; ``order`` if time leaves ties.
+
+    All rows of a digest are sorted by one task, which spills; for a digest that most of a log has, use windows.
+    """
+    w = Window.partitionBy(digest_col).orderBy(*(order or (ts_col,)))
     return log.withColumn("nth", F.row_number().over(w)).withColumn("gap_s", F.unix_timestamp(ts_col) - F.unix_timestamp(F.lag(ts_col).over(w)))
 
 

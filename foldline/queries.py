@@ -6,20 +6,28 @@ its length and its bytes.
 
 from __future__ import annotations
 
+import io
+import os
+import sys
+import tempfile
 from collections.abc import Callable
+from contextlib import redirect_stderr, redirect_stdout
 from functools import reduce
 from struct import pack
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldline import functions as fn
 from foldline import operators as op
+from foldline.cli import main
 from foldline.functions import Options
 from foldline.functions import vocabulary as v
+from foldline.goldens import GOLDENS
 from foldline.plans import keywords, logged, point_selects
 from foldline.plans.logs import table
-from foldline.sources import as_json, as_lines, trimmed
+from foldline.sources import as_json, as_lines, from_files, from_text, trimmed, write_digests
 from foldline.streaming import digest_sessions, digest_windows
 
 W = {w.decode(): i for w, i in v.KEYWORDS["9.0"].items()}
@@ -42,8 +50,15 @@ def _hash_sql(tokens: list, version: str = "8.0") -> str:
     return f"{'md5' if version == '5.7' else 'sha256'}(unhex('{_bytes(tokens, version)}'))"
 
 
+def _named_hash(before: list, name: str, after: list) -> str:
+    """As _hash_sql, with one name that is an SQL expression."""
+    size = f"octet_length(encode({name}))"
+    head, tail = _bytes(before) + pack("<H", v.NAME).hex(), _bytes(after)
+    return f"sha256(unhex('{head}') || unhex(printf('%02x%02x', {size} % 256, ({size} // 256) % 256)) || encode({name}) || unhex('{tail}'))"
+
+
 def _text(s: str | None) -> str:
-    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+    return "NULL" if s is None else "'" + s.replace("'", "''").replace("\0", "' || chr(0) || '") + "'"
 
 
 def _counted(log: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
@@ -69,7 +84,10 @@ _POINT_SQL = f"SELECT {_hash_sql(_POINT)} AS digest, 'SELECT * FROM `lineitem` W
 def digest_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), lambda x: x * F.col("l_orderkey")), ", ")
     log = logged(table(spark, sf_dir, "lineitem"), "SELECT o_custkey FROM orders WHERE o_orderkey IN (", numbers, ")")
-    return _counted(log).withColumn("version", F.lit("8.0")).union(_counted(log, Options("5.7")).withColumn("version", F.lit("5.7")))
+    both = op.with_digest(op.with_digest(log, options=Options("5.7"), prefix="old"), prefix="new")  # one pass over the log
+    row = lambda version, x: F.struct(F.lit(version).alias("version"), F.col(x).alias("digest"), F.col(f"{x}_text").alias("digest_text"))
+    rows = both.select(F.inline(F.array(row("8.0", "new"), row("5.7", "old"))))
+    return rows.groupBy("version", "digest", "digest_text").agg(F.count(F.lit(1)).alias("n"))
 
 
 _IN_HEAD = ["SELECT", "`o_custkey", "FROM", "`orders", "WHERE", "`o_orderkey"]
@@ -173,6 +191,11 @@ CASES: tuple[tuple[str, str, str, str, list], ...] = (
     ("window_word_57", "5.7", "SELECT rank FROM t", "SELECT `rank` FROM `t`", [_S, "`rank", "FROM", "`t"]),
     ("old_word_57", "5.7", "SELECT master_host", "SELECT MASTER_HOST", [_S, 554]),
     ("nul_ends", "8.0", "SELECT a\0, b", "SELECT `a`", [_S, "`a"]),
+    ("nul_ends_line_comment", "8.0", "SELECT a -- x\0, b", "SELECT `a` , `b`", [_S, "`a", ",", "`b"]),
+    ("hint_name_as_column", "8.0", "SELECT subquery, index_merge FROM t", "SELECT SUBQUERY , INDEX_MERGE FROM `t`", [_S, "SUBQUERY", ",", "INDEX_MERGE", "FROM", "`t"]),
+    ("nested_version_comments", "8.0", "SELECT /*!50000 a /*!50000 b */ c */ d", "SELECT `a` `b` `c` * / `d`", [_S, "`a", "`b", "`c", "*", "/", "`d"]),
+    ("open_version_comment", "8.0", "SELECT /*!50000 a", "SELECT `a`", [_S, "`a"]),
+    ("logical_operators", "8.0", "SELECT a && b & c || d | e", "SELECT `a` && `b` & `c` || `d` | `e`", [_S, "`a", "&&", "`b", "&", "`c", "||", "`d", "|", "`e"]),
     ("unicode", "8.0", "SELECT 名字 FROM 表 WHERE é = 'ü🙂'", "SELECT `名字` FROM `表` WHERE `é` = ?", [_S, "`名字", "FROM", "`表", "WHERE", "`é", "=", VALUE]),
 )
 # What needs its tokens spelled out.
@@ -218,6 +241,8 @@ FAULTS = (
     ("SELECT /*+ `a", "unterminated quoted identifier", 11, "SELECT /*+", False),
     ("SELECT $$a", None, None, "SELECT", False),
     ("SELECT 1", None, None, "SELECT ?", False),
+    ("SELECT a, 'b\0'", "unterminated string literal", 10, "SELECT `a` ,", True),
+    ("SELECT `b\0`", "unterminated string literal", 7, "SELECT", True),
 )
 
 
@@ -311,13 +336,48 @@ SELECT CAST(type AS INTEGER) AS type, CAST(s AS INTEGER) AS start, CAST(e AS INT
 """
 
 
+def prepared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens where a question mark is a parameter."""
+    df = spark.createDataFrame([("a && ? || ?b & |",)], "sql string")
+    return df.select(F.explode(fn.statement_tokens("sql", prepared=True)).alias("t")).select("t.*")
+
+
+_PREPARED_SQL = f"""
+SELECT CAST(type AS INTEGER) AS type, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", text FROM (VALUES (482, 0, 1, 'a'), ({W["&&"]}, 2, 4, '&&'), (652, 5, 6, '?'), ({W["||"]}, 7, 9, '||'),
+(63, 10, 11, '?'), (482, 11, 12, 'b'), (38, 13, 14, '&'), (124, 15, 16, '|')) t(type, s, e, text)
+"""
+
+
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fn.register(spark)
     table(spark, sf_dir, "nation").createOrReplaceTempView("_nations")
-    return spark.sql("SELECT n_nationkey, statement_digest(s) AS digest, statement_digest_text(s) AS digest_text, get_json_object(statement_digest_json(s), '$.text') AS json_text FROM (SELECT n_nationkey, concat('SELECT * FROM a WHERE b = ', n_nationkey) AS s FROM _nations)")
+    return spark.sql("""
+        SELECT n_nationkey, statement_digest(s) AS digest, statement_digest_text(s) AS digest_text, get_json_object(statement_digest_json(s), '$.text') AS json_text,
+               statement_digest_json(s, version) AS json, d.hash AS all_digest, d.text AS all_text, d.error AS error
+        FROM (SELECT *, statement_digest_all(s, version) AS d FROM
+              (SELECT n_nationkey, concat('SELECT * FROM a WHERE b = ', n_nationkey) AS s, element_at(array('5.7', '8.0', 'unknown'), n_nationkey % 3 + 1) AS version FROM _nations))
+        """)
+
+
+_FUNCTION_TOKENS = ["SELECT", "*", "FROM", "`a", "WHERE", "`b", "=", VALUE]
+_FUNCTIONS_SQL = f"""
+WITH n AS (SELECT n_nationkey, {_hash_sql(_FUNCTION_TOKENS)} AS digest, CASE WHEN n_nationkey % 3 = 0 THEN {_hash_sql(_FUNCTION_TOKENS, "5.7")} ELSE {_hash_sql(_FUNCTION_TOKENS)} END AS all_digest,
+           'SELECT * FROM `a` WHERE `b` = ?' AS t FROM nation)
+SELECT n_nationkey, digest, t AS digest_text, t AS json_text, '{{"text":"' || t || '","hash":"' || all_digest || '"}}' AS json, all_digest, t AS all_text, NULL::VARCHAR AS error FROM n
+"""
+
+
+def sql_function_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the function for JSON says of a statement that cannot be read, and of bytes that are no text."""
+    fn.register(spark)
+    q = F.lit("'")
+    df = table(spark, sf_dir, "region").select("r_regionkey", F.concat(F.lit("x "), q, F.lit("<"), "r_regionkey").alias("a"), F.concat(F.lit("SELECT "), q, F.unhex(F.lit("ff")).cast("string"), q).alias("b"))
+    return df.selectExpr("r_regionkey", "statement_digest_json(a) AS json", "statement_digest_text(b) AS broken")
 
 
-_FUNCTIONS_SQL = f"SELECT n_nationkey, {_hash_sql(['SELECT', '*', 'FROM', '`a', 'WHERE', '`b', '=', VALUE])} AS digest, 'SELECT * FROM `a` WHERE `b` = ?' AS digest_text, 'SELECT * FROM `a` WHERE `b` = ?' AS json_text FROM nation"
+_ERRORS_SQL = r"""
+SELECT r_regionkey, '{"error":"lex error at position 2: unterminated string literal (near \"x ''\u003c' || r_regionkey || '\")"}' AS json, 'SELECT ?' AS broken FROM region
+"""
 
 
 def sink_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,6 +392,87 @@ SELECT r_regionkey, 'DIGEST: ' || {_SINK_HASH} || chr(10) || 'DIGEST_TEXT: SELEC
 """
 
 
+def _shared(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/digests-{uuid4().hex}"
+
+
+def sink_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each form of the text sink, written and read again; a statement with an error has no line."""
+    path = _shared(spark)
+    log = logged(table(spark, sf_dir, "region"), "SELECT a FROM t", F.col("r_regionkey")).union(from_text(spark, "SELECT 'a"))
+    out = []
+    for form in ("lines", "json", "text", "hash"):
+        write_digests(op.with_digest(log), f"{path}/{form}", form)
+        out.append(spark.read.text(f"{path}/{form}").select(F.lit(form).alias("form"), F.col("value").alias("line")))
+    return reduce(DataFrame.union, out)
+
+
+_FILES_HASH = _named_hash(["SELECT", "`a", "FROM"], "'t' || r_regionkey", [])
+_FILES_SQL = f"""
+WITH d AS (SELECT {_FILES_HASH} AS h, 'SELECT `a` FROM `t' || r_regionkey || '`' AS t FROM region)
+SELECT 'lines' AS form, 'DIGEST: ' || h AS line FROM d UNION ALL SELECT 'lines', 'DIGEST_TEXT: ' || t FROM d
+UNION ALL SELECT 'json', '{{"digest":"' || h || '","digest_text":"' || t || '"}}' FROM d UNION ALL SELECT 'text', t FROM d UNION ALL SELECT 'hash', h FROM d
+"""
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files as statements, white space around them trimmed; a file of white space only has no row."""
+    path = _shared(spark)
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("\u00a0\nSELECT *\nFROM n"), F.col("n_nationkey"), F.lit(" \t")).alias("value"), "n_nationkey")
+    rows.union(spark.createDataFrame([(" \n\t", 99)], "value string, n_nationkey int")).write.partitionBy("n_nationkey").text(path)
+    return op.with_digest(from_files(spark, f"{path}/*/*.txt")).select("sql", "digest", "digest_text")
+
+
+_NATION_HASH = _named_hash(["SELECT", "*", "FROM"], "'n' || n_nationkey", [])
+_SOURCE_SQL = f"SELECT 'SELECT *' || chr(10) || 'FROM n' || n_nationkey AS sql, {_NATION_HASH} AS digest, 'SELECT * FROM `n' || n_nationkey || '`' AS digest_text FROM nation"
+
+#: Runs of the command: name, arguments, what is piped in, exit code, what it prints. FILE is a file, HASH a digest of SELECT and a value.
+RUNS: tuple[tuple[str, list[str], str | None, int, str], ...] = (
+    ("option", ["--sql", " SELECT 5\n", "-f", "FILE", "SELECT 'arg'"], "SELECT pipe", 0, "DIGEST: HASH\nDIGEST_TEXT: SELECT ?\n"),
+    ("file", ["--file", "FILE", "SELECT arg"], "SELECT pipe", 0, "DIGEST: HASH\nDIGEST_TEXT: SELECT ?\n"),
+    ("argument", ["SELECT 1", "--text-only"], "SELECT pipe", 0, "SELECT ?\n"),
+    ("pipe", ["--hash-only"], "\n SELECT 2 ", 0, "HASH\n"),
+    ("json_first", ["SELECT 1", "--hash-only", "--text-only", "--json"], None, 0, '{\n  "digest": "HASH",\n  "digest_text": "SELECT ?"\n}\n'),
+    ("text_before_hash", ["SELECT 1", "--hash-only", "--text-only"], None, 0, "SELECT ?\n"),
+    ("nothing", [], None, 1, "Error: no SQL input provided\n"),
+    ("white_space", ["--sql", " "], None, 1, "Error: no SQL input provided\n"),
+    ("fault", ["SELECT 'a"], None, 1, "Error: computing digest: lex error at position 7: unterminated string literal (near \"SELECT 'a\")\n"),
+)
+
+
+def cli_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line: where its statement comes from, what it prints, how it ends."""
+    rows, stdin = [], sys.stdin
+    with tempfile.TemporaryDirectory() as d:
+        path = os.path.join(d, "statement.sql")
+        with open(path, "w") as f:
+            f.write("\n SELECT 7 \n")
+        try:
+            for name, args, piped, _, _ in RUNS:
+                said = io.StringIO()
+                sys.stdin = None if piped is None else io.StringIO(piped)
+                with redirect_stdout(said), redirect_stderr(said):
+                    code = main([path if a == "FILE" else a for a in args])
+                rows.append((name, code, said.getvalue()))
+        finally:
+            sys.stdin = stdin
+    return spark.createDataFrame(rows, "name string, code int, printed string")
+
+
+_RUNS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({_text(n)}, {code}::INTEGER, replace({_text(out)}, 'HASH', {_hash_sql(['SELECT', VALUE])}))" for n, _, _, code, out in RUNS) + ") t(name, code, printed)"
+
+
+def goldens_80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.with_digest(from_text(spark, *(s for s, new, _ in GOLDENS if new))).select("sql", "digest")
+
+
+def goldens_57(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.with_digest(from_text(spark, *(s for s, _, old in GOLDENS if old)), options=Options("5.7")).select("sql", "digest")
+
+
+_GOLDENS_SQL = tuple("SELECT * FROM (VALUES " + ", ".join(f"({_text(g[0])}, '{g[i]}')" for g in GOLDENS if g[i]) + ") t(sql, digest)" for i in (1, 2))
+
+
 # --- analytics -----------------------------------------------------------------------------------------------------------
 
 
@@ -340,37 +481,51 @@ def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.with_digest(logged(table(spark, sf_dir, "events"), "SELECT * FROM kind_", F.col("event_type"), " WHERE id = ", F.col("user_id"), keep=("event_id", "ts", "user_id")))
 
 
+_EVENT_HASH = _named_hash(["SELECT", "*", "FROM"], "('kind_' || event_type)", ["WHERE", "`id", "=", VALUE])
 _EVENT_TEXT = "'SELECT * FROM `kind_' || event_type || '` WHERE `id` = ?'"
 
 
 def log_top_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the three most frequent digests; ties could be cut either way, so only the counts are compared."""
-    return op.top_digests(_event_log(spark, sf_dir), 3).select("n")
+    """The three most frequent digests, ties by digest."""
+    return op.top_digests(_event_log(spark, sf_dir), 3)
 
 
-_TOP_SQL = "SELECT count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC LIMIT 3"
+_TOP_SQL = f"SELECT {_EVENT_HASH} AS digest, {_EVENT_TEXT} AS digest_text, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, digest LIMIT 3"
 
 
 def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.summarize(_event_log(spark, sf_dir), ts_col="ts").drop("digest")
+    return op.summarize(_event_log(spark, sf_dir), ts_col="ts")
 
 
-_SUMMARY_SQL = f"SELECT {_EVENT_TEXT} AS digest_text, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1"
+_SUMMARY_SQL = f"SELECT {_EVENT_HASH} AS digest, {_EVENT_TEXT} AS digest_text, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY event_type"
 
 
 def log_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.first_seen(_event_log(spark, sf_dir).select("digest", "digest_text", "ts", "event_id"), "ts").select("digest_text", "ts")
+    return op.first_seen(_event_log(spark, sf_dir).select("digest", "digest_text", "ts", "event_id"), "ts").select("digest", "digest_text", "ts")
 
 
-_FIRST_SQL = f"SELECT {_EVENT_TEXT} AS digest_text, min(ts) AS ts FROM events GROUP BY 1"
+_FIRST_SQL = f"SELECT {_EVENT_HASH} AS digest, {_EVENT_TEXT} AS digest_text, min(ts) AS ts FROM events GROUP BY event_type"
+
+
+def log_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come first, second and third of their digest, and the seconds since the row before."""
+    log = _event_log(spark, sf_dir).select("digest", F.struct("ts", "event_id").alias("at"), "ts")
+    return op.numbered(log, "ts", order=("at",)).where("nth <= 3").select("digest", "nth", "gap_s", F.col("at.event_id").alias("event_id"))
+
+
+_NUMBERED_SQL = f"""
+WITH e AS (SELECT {_EVENT_HASH} AS digest, row_number() OVER w AS nth, epoch(date_trunc('second', ts))::BIGINT - epoch(date_trunc('second', lag(ts) OVER w))::BIGINT AS gap_s, event_id
+           FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+SELECT digest, nth::INTEGER AS nth, gap_s, event_id FROM e WHERE nth <= 3
+"""
 
 
 def log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = logged(table(spark, sf_dir, "events"), "SELECT * FROM kind_", F.col("event_type"), " WHERE id = ", F.col("user_id"), keep=("ts",))
-    return digest_windows(log, size="1 hour").drop("digest").withColumns({c: F.unix_timestamp(c) for c in ("start", "end")})
+    return digest_windows(log, size="1 hour").withColumns({c: F.unix_timestamp(c) for c in ("start", "end")})
 
 
-_WINDOWS_SQL = f"SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT + 3600 AS \"end\", {_EVENT_TEXT} AS digest_text, count(*) AS n FROM events GROUP BY ALL"
+_WINDOWS_SQL = f"SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT + 3600 AS \"end\", {_EVENT_HASH} AS digest, {_EVENT_TEXT} AS digest_text, count(*) AS n FROM events GROUP BY ALL"
 
 
 def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,16 +542,16 @@ SELECT n, count(*) AS sessions FROM c GROUP BY n
 
 
 def log_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of statements by market segment and by nation key, as two logs."""
-    a = logged(table(spark, sf_dir, "customer").where("c_nationkey < 20"), "SELECT 1 FROM t", F.col("c_nationkey"))
-    b = logged(table(spark, sf_dir, "supplier"), "SELECT 2 FROM t", F.col("s_nationkey"))
-    return op.compare_logs(op.with_digest(a), op.with_digest(b)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    """Statements by the sizes of parts and by the hundreds of suppliers' balances, as two logs."""
+    a = logged(table(spark, sf_dir, "part"), "SELECT 1 FROM t", F.col("p_size"))
+    b = logged(table(spark, sf_dir, "supplier"), "SELECT 2 FROM t", F.floor(F.abs("s_acctbal") / 100))
+    return op.compare_logs(op.with_digest(a), op.with_digest(b))
 
 
-_CHANGES_SQL = """
-WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey < 20), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
-SELECT 'gone' AS change, count(*) AS n FROM (SELECT k FROM a EXCEPT SELECT k FROM b) HAVING count(*) > 0
-UNION ALL SELECT 'new', count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a) HAVING count(*) > 0
+_CHANGES_SQL = f"""
+WITH a AS (SELECT DISTINCT 't' || p_size AS k FROM part), b AS (SELECT DISTINCT 't' || floor(abs(s_acctbal) / 100)::BIGINT AS k FROM supplier),
+c AS (SELECT 'gone' AS change, k FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'new', k FROM (SELECT k FROM b EXCEPT SELECT k FROM a))
+SELECT {_named_hash(["SELECT", VALUE, "FROM"], "k", [])} AS digest, change FROM c
 """
 
 
@@ -411,16 +566,39 @@ _KNOWN_SQL = "SELECT CASE WHEN l_linenumber < 3 THEN 'known' ELSE 'unknown' END
 
 
 def hostile_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose and raw web pages as statements: every row has a digest in every version, and the same one twice."""
+    """Prose and raw web pages as statements: every row has a digest in every version."""
     rows = table(spark, sf_dir, "documents").select(F.col("text").alias("sql")).union(table(spark, sf_dir, "pages").select("html"))
     for version in v.VERSIONS:
-        a, b = (fn.statement_digest("sql", Options(version)) for _ in range(2))
-        rows = rows.withColumn(f"ok_{version.replace('.', '_')}", (F.length(a["hash"]) == (32 if version == "5.7" else 64)) & (a["hash"] == b["hash"]))
+        rows = rows.withColumn(f"ok_{version.replace('.', '_')}", F.length(fn.statement_digest_hash("sql", Options(version))) == (32 if version == "5.7" else 64))
     return rows.groupBy(*(c for c in rows.columns if c != "sql")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _HOSTILE_SQL = "SELECT true AS ok_8_0, true AS ok_8_4, true AS ok_9_0, true AS ok_5_7, (SELECT count(*) FROM documents) + (SELECT count(*) FROM pages) AS n"
 
+
+def _hostile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, id, x): prose, raw web pages, and names about as long as a name's length can tell."""
+    rows = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("x"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("page"), F.col("page_id"), F.col("html"))
+    return rows.union(pages).union(table(spark, sf_dir, "region").select(F.lit("long"), F.col("r_regionkey"), F.expr("repeat('n', cast(65533 + r_regionkey as int))")))
+
+
+_HOSTILE_ROWS = "SELECT 'document' AS kind, doc_id AS id, text AS x FROM documents UNION ALL SELECT 'page', page_id, html FROM pages UNION ALL SELECT 'long', r_regionkey, repeat('n', 65533 + r_regionkey) FROM region"
+
+
+def hostile_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as names, strings and comments of statements; whatever a text holds, only a name shows in the digest."""
+    df = _hostile(spark, sf_dir).where("x is not null")
+    name, string = F.replace("x", F.lit("`"), F.lit("``")), F.replace(F.replace("x", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
+    sql = F.concat(F.lit("SELECT `"), name, F.lit("` /* "), F.replace("x", F.lit("*/"), F.lit("")), F.lit("*/, '"), string, F.lit("'"))
+    out = op.with_digest(df.select("kind", "id", F.sha2("x", 256).alias("of"), sql.alias("sql")))
+    return out.select("kind", "id", "digest", F.sha2("digest_text", 256).alias("text_sha256"), F.col("digest_error").isNotNull().alias("failed"))
+
+
+_QUOTED_SQL = f"""
+SELECT kind, id, {_named_hash(["SELECT"], "x", [",", VALUE])} AS digest, sha256('SELECT `' || replace(x, '`', '``') || '` , ?') AS text_sha256, false AS failed FROM ({_HOSTILE_ROWS}) WHERE x IS NOT NULL
+"""
+
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "digest_point_select": (digest_point_select, _POINT_SQL),
     "digest_distinct_first": (digest_distinct_first, _POINT_SQL),
@@ -439,16 +617,25 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "keyword_lookup": (keyword_lookup, _LOOKUP_SQL),
     "keyword_counts": (keyword_counts, "SELECT * FROM (VALUES ('8.0', 812::BIGINT), ('8.4', 821), ('9.0', 846), ('5.7', 681)) t(version, n)"),
     "tokens": (tokens, _TOKENS_SQL),
+    "prepared_tokens": (prepared_tokens, _PREPARED_SQL),
     "sql_functions": (sql_functions, _FUNCTIONS_SQL),
+    "sql_function_errors": (sql_function_errors, _ERRORS_SQL),
     "sink_forms": (sink_forms, _SINK_SQL),
+    "sink_files": (sink_files, _FILES_SQL),
+    "source_files": (source_files, _SOURCE_SQL),
+    "cli_runs": (cli_runs, _RUNS_SQL),
+    "goldens_80": (goldens_80, _GOLDENS_SQL[0]),
+    "goldens_57": (goldens_57, _GOLDENS_SQL[1]),
     "log_top_digests": (log_top_digests, _TOP_SQL),
     "log_summary": (log_summary, _SUMMARY_SQL),
     "log_first_seen": (log_first_seen, _FIRST_SQL),
+    "log_numbered": (log_numbered, _NUMBERED_SQL),
     "log_windows": (log_windows, _WINDOWS_SQL),
     "log_sessions": (log_sessions, _SESSIONS_SQL),
     "log_changes": (log_changes, _CHANGES_SQL),
     "log_known": (log_known, _KNOWN_SQL),
     "hostile_input": (hostile_input, _HOSTILE_SQL),
+    "hostile_quoted": (hostile_quoted, _QUOTED_SQL),
 }
 
 
