@@ -95,25 +95,38 @@ def unkeyed(rows: DataFrame | None, results: DataFrame, id_col: str) -> DataFram
 HEAVY = 2_000
 
 
-def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with what is known of their keys: ``groups`` has a row for each of ``keys``, with its number of rows as n.
 
     Rows of heavy keys are joined by broadcast, of fewer than HEAVY keys, and go through the shuffle of the others by the
-    hash of ``spread``; so no task gets all rows of one key. The column n goes. Rows whose keys are null find nothing.
+    hash of ``spread``, as do rows without a key; so no task gets all rows of one. The column n goes. ``total`` is the sum
+    of n; without it ``groups`` are written and summed.
     """
-    groups = scratch(groups)
-    total = groups.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        groups = scratch(groups)
+        total = groups.agg(F.sum("n")).first()[0] or 0
     facts = [c for c in groups.columns if c not in (*keys, "n")]
     heavy = groups.where(F.col("n") * HEAVY > total).select(*keys, F.struct(*facts).alias("_h"))
     light = groups.where(F.col("n") * HEAVY <= total).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*facts).alias("_l"))
-    told = rows.join(F.broadcast(heavy), keys, "left")
-    away = [F.when(F.col("_h").isNull(), F.col(keys[0])).otherwise(F.xxhash64(spread))] + [F.when(F.col("_h").isNull(), F.col(k)) for k in keys[1:]]
-    told = told.withColumns({f"_r{i}": c for i, c in enumerate(away)})
-    on = [F.col(f"_r{i}") == F.col(f"_k{i}") for i in range(len(keys))] + [F.col("_h").isNull()]
+    told = rows.join(F.broadcast(heavy), keys, "left").withColumn("_away", F.col("_h").isNotNull() | F.col(keys[0]).isNull())
+    told = told.withColumns({f"_r{i}": F.when(F.col("_away"), F.xxhash64(spread)).otherwise(F.col(k).cast("long")) for i, k in enumerate(keys)})
+    on = [F.col(f"_r{i}") == F.col(f"_k{i}").cast("long") for i in range(len(keys))] + [~F.col("_away")]
     out = told.join(light, on, "left").select(*rows.columns, F.coalesce("_h", "_l").alias("_f"))
     return (out.where(F.col("_f").isNotNull()) if how == "inner" else out).select(*rows.columns, *(F.col(f"_f.{c}").alias(c) for c in facts))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` lacks, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def copies(units: DataFrame) -> DataFrame:
     """(uid, first, many): whether a unit is the first with its text, and whether another has it too.
 

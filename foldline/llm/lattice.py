@@ -7,6 +7,7 @@ cosine in double precision.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, product
 
 import numpy as np
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import buckets, scratch
-from foldline.llm.components import components
+from foldline.llm.common import buckets, join_back, scratch
+from foldline.llm.components import components, stars
 from foldline.llm.vectors import dimension, finite, matrix
 
 COSINE = 0.9
@@ -24,6 +25,8 @@ COSINE = 0.9
 TABLES, VISITS, SCALE, SEED = 6, 4, 0.55, 20_240_501
 #: A cell with more members is verified in blocks of so many, pair by pair of blocks.
 BLOCK = 4_096
+#: Pairs that are verified at a time, and rows that are compared with a block at a time.
+PAIRS, ROWS = 50_000, 512
 
 _TWO = [np.eye(8)[i] * s + np.eye(8)[j] * t for i, j in combinations(range(8), 2) for s, t in product((1, -1), repeat=2)]
 _HALF = [np.array(s) for s in product((0.5, -0.5), repeat=8) if sum(x < 0 for x in s) % 2 == 0]
@@ -85,57 +88,39 @@ def _meet(own: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return (own[..., None] == seen).any(-1)
 
 
-def _verify(node: np.ndarray, x: np.ndarray, lives: np.ndarray, cell: int, table: int, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (i, j) of one cell, or between its two blocks, that no earlier table or other cell of this table counts."""
+def _cosines(x: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In double precision as they are defined, or by unit vectors where squares overflow or vanish."""
+    a, b = x[i], x[j]
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        exact = (a * b).sum(1) / (np.sqrt((a**2).sum(1)) * np.sqrt((b**2).sum(1)))
+    odd = ~np.isfinite(exact)
+    exact[odd] = (u[i[odd]] * u[j[odd]]).sum(1)
+    return exact
+
+
+def _verify(node: np.ndarray, x: np.ndarray, lives: np.ndarray, cell: int, table: int, first: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (i, j) of one cell, or between its two blocks, that no earlier table or other cell of this table counts; PAIRS at most at a time."""
     u = _unit(x)
-    pairs = []
-    step = 1024
-    for a in range(0, len(u), step):
-        s = u[a : a + step] @ u.T >= COSINE - 1e-12
-        i, j = np.nonzero(s)
+    c = None
+    for a in range(0, len(u), ROWS):
+        i, j = np.nonzero(u[a : a + ROWS] @ u.T >= COSINE - 1e-9)
         i += a
-        ok = node[i] < node[j]
-        ok &= lives[i] | lives[j]
+        ok = (node[i] < node[j]) & (lives[i] | lives[j])
         if first is not None:
             ok &= first[i] != first[j]
-        pairs.append((i[ok], j[ok]))
-    i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-    exact = (x[i] * x[j]).sum(1) / (np.sqrt((x[i] ** 2).sum(1)) * np.sqrt((x[j] ** 2).sum(1))) if len(i) else np.zeros(0)
-    exact = np.where(np.isfinite(exact), exact, (u[i] * u[j]).sum(1))
-    i, j = i[exact >= COSINE], j[exact >= COSINE]
-    keep = np.zeros(len(i), bool)
-    used = np.unique(np.r_[i, j])
-    c = cells(u[used])
-    place = np.zeros(len(u), np.int64)
-    place[used] = np.arange(len(used))
-    for at in range(0, len(i), 50_000):
-        p, q = c[place[i[at : at + 50_000]]], c[place[j[at : at + 50_000]]]
-        p_visits, q_visits = _meet(q[:, :, 0], p), _meet(p[:, :, 0], q)
-        met = p_visits | q_visits
-        here = met.argmax(1) == table
-        # In this table a pair is counted where the second lives, if the first comes there; else where the first lives.
-        counted = np.where(p_visits[:, table], q[:, table, 0], p[:, table, 0])
-        keep[at : at + 50_000] = here & (counted == cell)
-    return i[keep], j[keep]
-
-
-def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which links a union-find over this block needs."""
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while (p := root.setdefault(v, v)) != v:
-            root[v] = root[p]
-            v = p
-        return v
-
-    keep = np.zeros(len(a), bool)
-    for k, (v, w) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        v, w = find(v), find(w)
-        if v != w:
-            root[max(v, w)] = min(v, w)
-            keep[k] = True
-    return keep
+        i, j = i[ok], j[ok]
+        for at in range(0, len(i), PAIRS):
+            p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+            near = _cosines(x, u, p, q) >= COSINE
+            p, q = p[near], q[near]
+            if not len(p):
+                continue
+            c = cells(u) if c is None else c
+            p_visits, q_visits = _meet(c[q][:, :, 0], c[p]), _meet(c[p][:, :, 0], c[q])
+            here = (p_visits | q_visits).argmax(1) == table
+            # In this table a pair is counted where the second lives, if the first comes there; else where the first lives.
+            keep = here & (np.where(p_visits[:, table], c[q, table, 0], c[p, table, 0]) == cell)
+            yield p[keep], q[keep]
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -148,7 +133,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     Cells are named first, and only vectors that meet another one carry their components to a task. There a pair is
     counted once, in the first table where it meets, so that links are summed and never listed; a block returns a count
-    for each vector and links that span it. Large cells are dealt in pairs of blocks.
+    for each vector and links that span it. Large cells are dealt in pairs of blocks, and a block's pairs are verified
+    PAIRS at a time. Rows of one vector, and vectors of one component, are spread over tasks when they get their results.
     """
     d = dimension(df, vec_col)
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -163,10 +149,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         spark = df.sparkSession
         counts, comp = spark.createDataFrame([], "node long, links long"), spark.createDataFrame([], "node long, component long")
     of = classes.select("h", "g", "low", "n").join(counts.withColumnRenamed("node", "h"), "h", "left").join(comp.withColumnRenamed("node", "h"), "h", "left")
-    of = scratch(of.select("h", "g", "low", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "h").alias("component")))
-    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = of.join(lowest, "component").select("h", "g", "n_links", "component_id")
-    out = rows.select("id", "h", "g").join(of, ["h", "g"], "left")
+    of = scratch(of.select("h", "g", "low", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "h").alias("component")))
+    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = join_back(of.withColumnRenamed("n", "rows"), lowest, ["component"], "h").select("h", "g", F.col("rows").alias("n"), "n_links", "component_id")
+    out = join_back(rows.select("id", "h", "g"), of, ["h", "g"], "id", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -218,22 +204,22 @@ def _count_links(classes: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
         order = np.lexsort((j, i, tab, cell))
         k = np.stack([cell, tab, i, j])[:, order]
         cuts = np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(0), True])
-        out_node, out_links, out_a, out_b = [], [], [], []
+        links = np.zeros(len(node), np.int64)
+        out_a, out_b = [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             r = order[a:b]
             between = first[r] if i[r[0]] != j[r[0]] else None
-            p, q = _verify(node[r], x[r], lives[r], int(cell[r[0]]), int(tab[r[0]]), between)
-            if len(p):
+            for p, q in _verify(node[r], x[r], lives[r], int(cell[r[0]]), int(tab[r[0]]), between):
                 p, q = r[p], r[q]
-                out_node += [node[p], node[q]]
-                out_links += [weight[q], weight[p]]
-                need = _spanning(node[p], node[q])
-                out_a.append(node[p][need])
-                out_b.append(node[q][need])
+                np.add.at(links, p, weight[q])
+                np.add.at(links, q, weight[p])
+                s, t_ = stars(node[p], node[q])
+                out_a.append(s)
+                out_b.append(t_)
         none = [np.zeros(0, np.int64)]
-        n, at = np.unique(np.concatenate(out_node or none), return_inverse=True)
-        links = np.bincount(at, np.concatenate(out_links or none), len(n)).astype(np.int64)
-        a, b = np.concatenate(out_a or none), np.concatenate(out_b or none)
+        n, at = np.unique(node[links > 0], return_inverse=True)
+        links = np.bincount(at, links[links > 0], len(n)).astype(np.int64)
+        a, b = stars(np.concatenate(out_a or none), np.concatenate(out_b or none))
         # One shape for both: counts have no second node.
         return pa.table({"a": np.r_[n, a], "b": pa.array(np.r_[n, b], mask=np.r_[np.ones(len(n), bool), np.zeros(len(b), bool)]), "links": np.r_[links, np.zeros(len(a), np.int64)]})
 

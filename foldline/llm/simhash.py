@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import buckets, mixed, scratch
-from foldline.llm.components import components
+from foldline.llm.common import buckets, fresh, join_back, mixed, scratch
+from foldline.llm.components import components, stars
 from foldline.llm.jaccard import redundant, shingle_hashes
 
 WORDS, BITS, SEGMENTS = 4, 4, 5
@@ -178,30 +178,6 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
     return links, large
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between nodes as one link from each to the smallest that it is joined with.
-
-    A dense group is found again by many keys, and each would tell it by links of its own; by their smallest nodes they
-    mostly tell the same.
-    """
-    node, at = np.unique(np.r_[a, b], return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    low = np.arange(len(node))
-    while True:
-        m = np.minimum(low[x], low[y])
-        new = low.copy()
-        np.minimum.at(new, x, m)
-        np.minimum.at(new, y, m)
-        np.minimum.at(new, low[x], m)
-        np.minimum.at(new, low[y], m)
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    far = low != np.arange(len(node))
-    return node[far], node[low[far]]
-
-
 def _words(t: pa.Table, name: str = "node") -> np.ndarray:
     """Fingerprints [row, word] of a table; narrow ones are their own nodes."""
     if "fp" not in t.column_names:
@@ -235,7 +211,7 @@ def linked(fps: DataFrame) -> DataFrame:
     def local(t: pa.Table) -> pa.Table:
         fp, node, key = _words(t), t["node"].to_numpy(), t["k"].to_numpy()
         links, large = _links(key.view(np.uint64), fp)
-        a, b = _stars(node[_cat([x for x, _ in links])], node[_cat([y for _, y in links])])
+        a, b = stars(node[_cat([x for x, _ in links])], node[_cat([y for _, y in links])])
         out = {
             "a": _cat([a] + [node[r] for _, r in large]),
             "b": _cat([b] + [np.full(len(r), np.uint64(k)).view(np.int64) for k, r in large]),
@@ -259,7 +235,7 @@ def linked(fps: DataFrame) -> DataFrame:
     def pair(t: pa.Table) -> pa.Table:
         fp, node = _words(t), t["node"].to_numpy()
         got = list(_forest(fp) if t["i"][0].as_py() == t["j"][0].as_py() else _forest_between(fp, t["first"].to_numpy(zero_copy_only=False)))
-        a, b = _stars(node[_cat([x for x, _ in got])], node[_cat([y for _, y in got])])
+        a, b = stars(node[_cat([x for x, _ in got])], node[_cat([y for _, y in got])])
         return pa.table({"a": a, "b": b})
 
     return links.union(dealt.groupBy("b", "i", "j").applyInArrow(pair, "a bigint, b bigint"))
@@ -273,13 +249,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shuffled; exact copies of a fingerprint meet in a map-side aggregation, so copies cost no pairs.
     """
     rows = scratch(fingerprints(docs, id_col, text_col, words))
-    fps = scratch(rows.groupBy("fp").agg(F.min(id_col).alias("low")))
+    fps = scratch(rows.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")))
     comp = components(linked(fps.select(F.col("fp").alias("node"))))
-    of = fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    of = fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
     of = scratch(of)
-    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = of.join(lowest, "component").select("fp", "component_id")
-    return rows.join(of, "fp").select(id_col, "fp", "component_id")
+    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = join_back(of.withColumnRenamed("n", "rows"), lowest, ["component"], "fp").select("fp", F.col("rows").alias("n"), "component_id")
+    return join_back(rows, of, ["fp"], id_col).select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -292,8 +268,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     if ids.where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).isEmpty():
         return docs.join(redundant(docs, id_col, text_col, words), id_col, "left_anti").select(docs.columns)
-    rows = scratch(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn("_row", F.monotonically_increasing_id()))
-    return rows.join(redundant(rows, "_row", text_col, words), "_row", "left_anti").select(docs.columns)
+    (row,) = fresh(docs, "_row")
+    rows = scratch(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn(row, F.monotonically_increasing_id()))
+    return rows.join(redundant(rows, row, text_col, words), row, "left_anti").select(docs.columns)
 
 
 def simhash_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from foldline.llm import lattice
+from foldline.llm import common, lattice
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("node", T.StringType())])
 
@@ -74,3 +76,29 @@ def test_odd_rows(spark):
     assert got == [((False, 3), 3, 3, True), ((False, 4), 3, 3, False), ((False, 4), 3, 3, False), *lone, ((False, 12), 3, 3, False), ((False, 13), 0, 13, True), ((True, 0), 0, None, True)]
     assert lattice.near_vectors(frame(spark, [])).count() == 0
     assert lattice.near_vectors(frame(spark, [None, []])).count() == 2
+
+
+def test_a_full_block_takes_bounded_memory():
+    """4,096 near vectors in one cell: eight million pairs, verified in parts."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=64) + rng.normal(size=(lattice.BLOCK, 64)) * 0.05
+    node = np.arange(len(x))
+    lives = np.ones(len(x), bool)
+    own = lattice.cells(lattice._unit(x))[:, 0, 0]
+    tracemalloc.start()
+    seen = 0
+    for p, q in lattice._verify(node, x, lives, int(own[0]), 0, None):
+        assert len(p) <= lattice.PAIRS
+        seen += len(p)
+    assert tracemalloc.get_traced_memory()[1] < 500e6 and seen > 0
+    tracemalloc.stop()
+
+
+def test_one_vector_and_one_component_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 5)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    vectors = [centre.tolist()] * 50 + [(centre + rng.normal(size=16) * 0.1).tolist() for _ in range(40)] + [rng.normal(size=16).tolist() for _ in range(20)] + [None] * 5
+    links, comp = brute(vectors[:110])
+    rows = lattice.near_vectors(frame(spark, vectors)).orderBy("vec_id").collect()
+    assert [r.n_links for r in rows] == [*links.tolist(), *[0] * 5] and [r.component_id for r in rows] == [*comp.tolist(), *range(110, 115)]
