@@ -7,6 +7,8 @@ group is searched locally.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,16 +17,19 @@ from pyspark.sql import functions as F
 from foldline.llm.common import scratch
 from foldline.llm.vectors import dimension, finite, matrix
 
-#: Pivots are the rows of least hash: a bounded sample, whatever the input. A block is what one task searches at once.
-PIVOTS, BLOCK, QUERY_BLOCK = 256, 20_000, 4_096
+#: Pivots are the rows of least hash: as many as the square root of the rows, within these bounds. A block is what one task
+#: searches at once, and so many queries of one cell ask it together.
+PIVOTS, MOST_PIVOTS, BLOCK, QUERY_BLOCK = 256, 4_096, 20_000, 4_096
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by way of doubles where those are exact too."""
+    """Exact integer inner products; by way of doubles where those are exact too. Beyond a long they are its limits."""
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)), np.int64)
-    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
-    return (a.astype(float) @ b.astype(float).T).astype(np.int64) if most < 2**53 else a @ b.T
+    most = float(np.abs(a.astype(float)).max()) * float(np.abs(b.astype(float)).max()) * a.shape[1]
+    if most < 2**53:
+        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    return a @ b.T if most < 2**62 else np.clip(a.astype(object) @ b.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def search(ids: np.ndarray, data: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,6 +53,11 @@ def search(ids: np.ndarray, data: np.ndarray, qids: np.ndarray, queries: np.ndar
     return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(3))
 
 
+def routed(data: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``data`` (cell, block, ...) once for each part that has asked for their block."""
+    return data.join(asked.select("cell", "block", "part").distinct(), ["cell", "block"])
+
+
 def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by ``every``, the k rows of highest score.
 
@@ -56,8 +66,10 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
     query's id, the least of their vectors asks. Repeated rows of other ids are candidates each. With fewer than k
     candidates all are returned.
 
-    The driver sees the pivots and one summary for each of them. A group is searched in blocks by hash of the row, so
-    neither a large group nor many queries meet in one task; each block returns k rows for a query at most.
+    The driver sees the pivots and one summary for each of them. A group is searched in blocks by hash of the row, and
+    queries ask in blocks of their own cell, so neither a large group nor many queries meet in one task. A block of rows
+    is sent to those blocks of queries that ask for it and to no others; each returns k rows for a query at most.
+    Components are limited to those of a long, and so are scores.
     """
     spark = df.sparkSession
     d = dimension(df, vec_col)
@@ -66,7 +78,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
         return empty
     ok = df.where(F.col(id_col).isNotNull() & finite(F.col(vec_col)) & (F.size(vec_col) == d))
     rows = ok.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda v: F.floor(v.cast("double") * 1024).cast("long")).alias("vec"))
-    some = rows.orderBy(F.xxhash64("id", "vec"), "id").limit(PIVOTS).toArrow()
+    some = rows.orderBy(F.xxhash64("id", "vec"), "id").limit(min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows.count())))).toArrow()
     pivot_ids, pivots = some["id"].to_numpy(), matrix(some["vec"], d, np.int64)
     centre = pivots.astype(float)
     half = (centre**2).sum(1) / 2
@@ -79,14 +91,15 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g.astype(np.int32)), pa.array(r), pa.array(np.sqrt((x**2).sum(1)))], names=["id", "vec", "cell", "radius", "norm"])
 
     held = scratch(rows.mapInArrow(assign, "id long, vec array<long>, cell int, radius double, norm double"))
-    summary = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"), F.max("norm").alias("norm")).collect()
-    radius, norm, blocks = np.zeros(len(pivots)), np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    asks = F.col("id") % every == 0
+    summary = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"), F.max("norm").alias("norm"), F.count_if(asks).alias("asks")).collect()
+    radius, norm, blocks, parts = np.zeros(len(pivots)), np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64)
     for s in summary:
-        radius[s["cell"]], norm[s["cell"]], blocks[s["cell"]] = s["r"], s["norm"], -(-s["n"] // BLOCK)
-    queries = held.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
-    parts = -(-queries.count() // QUERY_BLOCK)
-    if not parts:
+        c = s["cell"]
+        radius[c], norm[c], blocks[c], parts[c] = s["r"], s["norm"], -(-s["n"] // BLOCK), max(1, -(-s["asks"] // QUERY_BLOCK))
+    if not sum(s["asks"] for s in summary):
         return empty
+    queries = held.where(asks).groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("q")).select("id", "q.vec", "q.cell")
 
     def route(batches):
         """A query with each block of each group that it needs."""
@@ -102,18 +115,17 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
             i, g = np.nonzero((bound >= floor[:, None]) & (blocks > 0))
             i, g = np.repeat(i, blocks[g]), np.repeat(g, blocks[g])
             b = np.arange(len(g)) - np.searchsorted(g + i * len(blocks), g + i * len(blocks), side="left")
-            part = (ids[i] // every) % parts
+            own = batch.column(2).to_numpy()
+            part = own[i] + len(pivots) * ((ids[i] // every) % parts[own[i]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g.astype(np.int32)), pa.array(b.astype(np.int64)), pa.array(part.astype(np.int64)), pa.array(np.ones(len(i), bool)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))],
-                names=["cell", "block", "part", "asks", "id", "vec"],
+                [pa.array(g.astype(np.int32)), pa.array(b.astype(np.int64)), pa.array(part.astype(np.int64)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))],
+                names=["cell", "block", "part", "id", "vec"],
             )
 
-    shape = "cell int, block long, part long, asks boolean, id long, vec array<long>"
-    asked = queries.mapInArrow(route, shape)
+    asked = scratch(queries.mapInArrow(route, "cell int, block long, part long, id long, vec array<long>"))
     in_cell = F.element_at(F.array(*(F.lit(int(max(b, 1))) for b in blocks)), F.col("cell") + 1)
-    data = held.select(
-        "cell", F.pmod(F.xxhash64("id", "vec"), in_cell).cast("long").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(False).alias("asks"), "id", "vec"
-    )
+    data = held.select("cell", F.pmod(F.xxhash64("id", "vec"), in_cell).cast("long").alias("block"), "id", "vec")
+    sent = routed(data, asked).withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
 
     def local(t: pa.Table) -> pa.Table:
         asks = t["asks"].to_numpy(zero_copy_only=False)
@@ -121,7 +133,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
         q, v, s = search(ids[~asks], x[~asks], ids[asks], x[asks], k)
         return pa.table({"query_id": q, "vec_id": v, "score": s})
 
-    found = asked.union(data).groupBy("cell", "block", "part").applyInArrow(local, "query_id long, vec_id long, score long")
+    found = sent.groupBy("cell", "block", "part").applyInArrow(local, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -37,3 +37,32 @@ def test_few_or_no_rows(spark):
     assert knn.top_k(frame(spark, [[1.0, 2.0]], [0])).count() == 0
     assert [tuple(r) for r in knn.top_k(frame(spark, [[1.0, 2.0], [1e-3, 0.0]], [0, 1])).collect()] == [(0, 1, 1, 1024)]
     assert knn.top_k(frame(spark, [[1.0]], [7])).count() == 0
+
+
+def test_rows_go_only_where_they_are_asked_for(spark, monkeypatch):
+    for name, value in (("PIVOTS", 64), ("BLOCK", 50), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(knn, name, value)
+    sent = []
+    plain = knn.routed
+
+    def counted(data, asked):
+        out = plain(data, asked)
+        routes = asked.select("cell", "block", "part").distinct()
+        sent.append((out.count(), data.join(routes.select("cell", "block").distinct(), ["cell", "block"], "left_semi").count(), routes.select("part").distinct().count()))
+        return out
+
+    monkeypatch.setattr(knn, "routed", counted)
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.normal(size=(20, 8)) * 5, 100, axis=0) + rng.normal(size=(2000, 8)) * 0.2  # clear groups
+    rows = [(int(i), x.round(3).tolist()) for i, x in enumerate(v)]
+    got = knn.top_k(frame(spark, [x for _, x in rows], [i for i, _ in rows]), every=10).collect()
+    assert sorted(map(tuple, got)) == brute(rows, every=10)
+    copies, wanted, parts = sent[0]
+    assert wanted <= 2000 and copies < 0.5 * 2000 * parts  # and not every row for every block of queries
+
+
+def test_huge_components(spark):
+    big = 3e38
+    rows = [(0, [big, 1.0]), (1, [big, -1.0]), (2, [-big, 0.0]), (3, [1.0, 1.0])]
+    got = [tuple(r) for r in knn.top_k(frame(spark, [x for _, x in rows], [i for i, _ in rows])).collect()]
+    assert [(r[2], r[3]) for r in sorted(got)] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
