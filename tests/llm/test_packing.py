@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
 from foldline.llm import packing
@@ -64,3 +66,22 @@ def test_rows_against_the_library(spark, monkeypatch):
         assert at <= 1024
     assert len(bins) <= 1.02 * sum(r.length for r in got) / 1024 + 1
     assert packing.pack(documents(spark, [])).count() == 0
+
+
+def test_same_ids_as_the_library_on_a_whole_corpus():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r or "" for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    assert packing._tokens(public_tokenizers.path("byte_bpe_50k.json")).fast
+    for i in range(0, len(texts), 500):
+        for text, e in zip(texts[i : i + 500], t.encode_batch(texts[i : i + 500], add_special_tokens=False), strict=True):
+            assert packing.tokenize(text) == e.ids
+
+
+def test_other_files_are_left_to_the_library():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.tokenize("Some Words, and é!", "word_bpe_49k.json") == t.encode("Some Words, and é!", add_special_tokens=False).ids
+
+
+def test_names_of_the_result_are_no_ids(spark):
+    with pytest.raises(ValueError):
+        packing.pack(documents(spark, ["a"]).withColumnRenamed("doc_id", "piece"), "piece")
