@@ -51,6 +51,22 @@ def test_added_kinds_need_checksum_or_cue(spark):
     assert got == {0: "iban:5:32", 1: "", 2: "ssn:10:21", 3: ""}
 
 
+def test_account_codes_end_by_their_countrys_length(spark):
+    texts = ["to DE89 3704 0044 0532 0130 00 Amount due", "DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000 2 days", "DE893704004405320130002", "ZZ89370400440532013000", "NO9386011117947"]
+    got = {r.doc_id: r.spans for r in pii.pii_digest(documents(spark, texts)).collect()}
+    assert got == {0: "iban:3:30", 1: "iban:0:22", 2: "iban:0:22", 3: "", 4: "", 5: "iban:0:15"}
+
+
+def test_very_many_spans_and_columns_with_the_names_of_helpers(spark):
+    texts = ["a.b@c.de " * 30_000, "10.0.0.1,a@b.cd;" * 500, None]
+    df = documents(spark, texts).select("*", *(F.lit(n).alias(n) for n in ("_spans", "_cut", "_email_m", "_IP_g")))
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    rows = out.orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["[EMAIL] " * 30_000, "[IP],[EMAIL];" * 500, None] and {(r._spans, r._cut, r._IP_g) for r in rows} == {("_spans", "_cut", "_IP_g")}
+    assert pii.pii_digest(df).where("n_email = 30000").count() == 1
+
+
 def test_redact_keeps_columns_and_the_rest_of_the_text(spark):
     df = documents(spark, ["é🙂 a@b.cd, +49 30 1234567 and 1.2.3.4!", None, "", "clean"])
     out = pii.redact(df)
