@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldline.llm.common import fresh
+
 #: At most so many labelled rows are fitted on, those of least hash; a documented bound, not a share of the input.
 SAMPLE = 12_000
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, LEAVES, SMOOTH = 32, 12, 8, 150, 60, 0.1, 4, 20.0
@@ -196,8 +198,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, all columns unchanged, whose score reaches the threshold."""
+    """The rows, all columns unchanged and of any names, whose score reaches the threshold; null texts are scored as empty."""
     names, schema = docs.columns, docs.schema
+    (text,) = fresh(docs, "_text")
 
     def run(batches):
         for batch in batches:
@@ -205,4 +208,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             keep = pa.array(model.score(x) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))], names=names).filter(keep)
 
-    return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(text, F.col(text_col).cast("binary")).mapInArrow(run, schema)

@@ -1,9 +1,12 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from foldline.llm import quality
-from tests.llm.util import documents
+from tests.llm.util import documents, words
 
 DIR = "/root/testdata/sf0.1"
 
@@ -37,3 +40,46 @@ def test_interactions_are_learned():
     y = ((x[:, 2] > 0.5) ^ (x[:, 5] > 0.5)).astype(float)
     m = quality.fit(x, y)
     assert ((m.score(x) > 0.5) == y).mean() > 0.9
+
+
+def plain_features(text):
+    """The features, counted byte by byte and word by word."""
+    b = text.encode()
+    n, w = max(len(b), 1), b.split()
+    k = max(len(w), 1)
+    at = Counter(bytes([x]) for x in b)
+    share = lambda chars: sum(at[c.encode()] for c in chars) / n
+    rows = [x for x in b.split(b"\n") if x.strip()]
+    upper = sum(at[bytes([x])] for x in range(65, 91)) + sum(text.count(c) for c in "ÀÄÉÊÍÑÖÜÈÇ")
+    return [
+        math.log1p(len(w)), (n - k) / k, len(set(w)) / k, sum(x == y for x, y in zip(w, w[1:], strict=False)) / k, upper / n, share("0123456789"), share(".,:;!?'\"()-"), share("!"), share("|"),
+        share("#$%&*^~@=+_\\"), share(" \t\r\n"), sum(c for x, c in at.items() if x[0] > 127) / n, math.log1p(len(rows)), len(w) / max(len(rows), 1), 1 - len(set(rows)) / max(len(rows), 1), max(Counter(w).values(), default=0) / k,
+        at[b"."] / k, share("<>{}[]/"), max(map(len, w), default=0), at[b"@"] / k,
+    ]
+
+
+def test_scores_against_plain_loops(spark):
+    rng = random.Random(9)
+    good = [". ".join(words(rng, 9, 900).capitalize() for _ in range(rng.randrange(1, 12))) + ".\n" + words(rng, 5) for _ in range(120)]
+    junk = [words(rng, 30).upper() + "!!! $$$ | | a@b <b>" * rng.randrange(4) for _ in range(80)]
+    texts = [*good, *junk, "", None, "ÀÄÉ ÊÍÑ ÖÜÈÇ é", "same same same\nsame\nsame", "x" * 5_000]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < len(good))) for i in range(len(good) + len(junk))], "doc_id long, quality int")
+    m = quality.train(docs, labels)
+    assert m.pairs and len(m.tables) == len(quality.FEATURES)
+    for r in quality.score(docs, m).collect():
+        x = plain_features(texts[r.doc_id] or "")
+        assert np.allclose(x, quality.features((texts[r.doc_id] or "").encode()), rtol=1e-12), r.doc_id
+        x = quality.features((texts[r.doc_id] or "").encode())  # the last bits decide at an edge
+        z = m.base
+        for value, edges, t in zip(x, m.edges, m.tables, strict=True):
+            z += t[sum(e <= value for e in edges)]
+        for (a, b), t in zip(m.pairs, m.pair_tables, strict=True):
+            z += t[sum(e <= x[a] for e in m.coarse[a])][sum(e <= x[b] for e in m.coarse[b])]
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
+def test_keep_good_with_the_names_of_helpers(spark):
+    docs = documents(spark, ["fine words here", None]).selectExpr("*", "'mine' AS _text")
+    out = quality.keep_good(docs, quality.Model(base=3.0))
+    assert out.columns == docs.columns and [r._text for r in out.collect()] == ["mine", "mine"]
