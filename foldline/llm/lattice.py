@@ -225,3 +225,15 @@ def _count_links(classes: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
 
     said = scratch(full.groupBy("bucket").applyInArrow(local, "a long, b long, links long"))
     return said.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), said.where("b is not null").select("a", "b")
+
+
+#: The same in DuckDB, over all pairs, for distinct ids; the operator meets a pair at the limit with a probability of 0.99.
+NEAR_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON v.vec_id = c.a LEFT JOIN k ON v.vec_id = k.a
+"""

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": substring.SUBSTRING_SQL, "op4_suffix": suffix.SUFFIX_SQL, "op7_knn": knn.TOP_K_SQL, "op9_lines": lines.LINE_SQL}
+    return {"op2_substring": substring.SUBSTRING_SQL, "op4_suffix": suffix.SUFFIX_SQL, "op5_lattice": lattice.NEAR_SQL, "op7_knn": knn.TOP_K_SQL, "op9_lines": lines.LINE_SQL}
