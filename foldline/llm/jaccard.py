@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from foldline.llm.common import buckets, scratch
 from foldline.llm.components import components
+from foldline.llm.substring import sequence_hashes, word_hashes
 
 #: Least similarity, as a fraction, so that the limit itself is exact.
 UP, DOWN = 4, 5
@@ -48,9 +49,12 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    parts = list(shingle_hashes(text, words))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    """Distinct 64-bit hashes of a text's shingles, sorted; made from hashes of its words, which workers remember."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    n = min(words, len(w))
+    return np.unique(sequence_hashes(word_hashes(w)[0], np.arange(len(w) - n + 1), n, n))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
