@@ -53,3 +53,18 @@ def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
     assert len(quality.FEATURES) == len(quality.features(b"a b"))
+
+
+def test_no_documents_and_odd_ones(spark, tmp_path):
+    """Nothing to do, and null or empty values in every column."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None), (1, "", "en", None, 0), (2, None, None, "s", None), (2, "Fine words here.", None, "s", 16), (None, "Fine words here.", "en", "s", 16)])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] * len(rows), "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        got = cp.run(spark, d).collect()
+        assert all(r.length > 0 for r in got) and (rows or not got)
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in cp.STAGES[1:-1]:
+            out = stage(spark, docs, d)
+            assert out.columns == COLUMNS and out.count() == (len(rows) if stage is not cp.one_of_each else len({r[1] or "" for r in rows}))
