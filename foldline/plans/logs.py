@@ -10,9 +10,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A log with fewer bytes than this for each core is dealt over all cores before its statements are read.
+SMALL = 16 << 20
+
+
+def spread(log: DataFrame) -> DataFrame:
+    """A small log over all cores: one file of one row group is one task, however many cores there are.
+
+    What a log has of bytes is Catalyst's estimate; nothing is read. A larger one, or a stream, stays as it is.
+    """
+    cores = log.sparkSession.sparkContext.defaultParallelism
+    if log.isStreaming or int(str(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL * cores:
+        return log
+    return log.repartition(cores)
+
+
 def logged(df: DataFrame, *parts: Column | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(kept columns, sql): the parts joined, strings as they are and columns as text."""
-    return df.select(*keep, F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)).alias("sql"))
+    return spread(df.select(*keep, F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)).alias("sql")))
 
 
 def point_selects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from foldline.cli import main
 from foldline.functions import Options
 from foldline.functions import vocabulary as v
 from foldline.goldens import GOLDENS
-from foldline.plans import keywords, logged, point_selects
+from foldline.plans import keywords, logged, point_selects, spread
 from foldline.plans.logs import table
 from foldline.sources import as_json, as_lines, from_files, from_text, trimmed, write_digests
 from foldline.streaming import digest_sessions, digest_windows
@@ -568,6 +568,7 @@ _KNOWN_SQL = "SELECT CASE WHEN l_linenumber < 3 THEN 'known' ELSE 'unknown' END
 def hostile_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose and raw web pages as statements: every row has a digest in every version."""
     rows = table(spark, sf_dir, "documents").select(F.col("text").alias("sql")).union(table(spark, sf_dir, "pages").select("html"))
+    rows = spread(rows)
     for version in v.VERSIONS:
         rows = rows.withColumn(f"ok_{version.replace('.', '_')}", F.length(fn.statement_digest_hash("sql", Options(version))) == (32 if version == "5.7" else 64))
     return rows.groupBy(*(c for c in rows.columns if c != "sql")).agg(F.count(F.lit(1)).alias("n"))
@@ -588,7 +589,7 @@ _HOSTILE_ROWS = "SELECT 'document' AS kind, doc_id AS id, text AS x FROM documen
 
 def hostile_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as names, strings and comments of statements; whatever a text holds, only a name shows in the digest."""
-    df = _hostile(spark, sf_dir).where("x is not null")
+    df = spread(_hostile(spark, sf_dir).where("x is not null"))
     name, string = F.replace("x", F.lit("`"), F.lit("``")), F.replace(F.replace("x", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
     sql = F.concat(F.lit("SELECT `"), name, F.lit("` /* "), F.replace("x", F.lit("*/"), F.lit("")), F.lit("*/, '"), string, F.lit("'"))
     out = op.with_digest(df.select("kind", "id", F.sha2("x", 256).alias("of"), sql.alias("sql")))
