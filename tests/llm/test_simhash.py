@@ -157,3 +157,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {5: 5} | {i: 5 for i in range(200, 300)}
     assert components(spark.createDataFrame([], "a long, b long")).agg(F.count("node")).first()[0] == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(21)
+    long = words(rng, 200_000, 5_000)
+    rows = simhash.simhash_digest(documents(spark, [long, long + " end", "x" * 1_000_000])).orderBy("doc_id").collect()
+    fp = brute_fp(long)
+    assert rows[0].fingerprint == f"{fp:016x}" and [r.component_id for r in rows] == [0, 0, 2]
