@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldline.llm.common import buckets, scratch
@@ -31,6 +32,19 @@ FEW = 24
 BLOCK = 2_048
 #: Cells of the table of common shingles, and pairs or sets that are held at a time.
 CELLS, PAIRS, SETS = 1 << 22, 1_000_000, 256
+#: Rows that go to Python at a time: each may hold two long texts.
+ROWS = 500
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(ROWS, int(before)) if int(before) > 0 else ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -236,6 +250,11 @@ def links(docs: DataFrame, words: int, common) -> DataFrame:
 
 def redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id): rows whose id is not the smallest of those that links join them with. Ids are distinct longs."""
+    with _small_batches(docs.sparkSession):
+        return _redundant(docs, id_col, text_col, words)
+
+
+def _redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
     surveyed = scratch(_surveyed(rows, words))
     common = docs.sparkSession.sparkContext.broadcast(_common(surveyed))

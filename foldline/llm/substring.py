@@ -20,7 +20,7 @@ from foldline.llm.common import anywhere, buckets, copies, dealt, keyed, mixed,
 #: Words in a window; the period and its cover: every residue is a difference of two of its members.
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 #: Hashes that a task gathers before it sends them on, and words whose hashes it remembers.
-GATHERED, REMEMBERED = 1_000_000, 1_000_000
+GATHERED, REMEMBERED = 1_000_000, 200_000
 
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
