@@ -18,7 +18,7 @@ from foldline.llm.common import scratch
 from foldline.llm.vectors import dimension, finite, matrix
 
 #: Pivots are the rows of least hash: as many as the square root of the rows, within these bounds. A block is what one task
-#: searches at once, and so many queries of one cell ask it together.
+#: searches at once, and so many queries ask it together.
 PIVOTS, MOST_PIVOTS, BLOCK, QUERY_BLOCK = 256, 4_096, 20_000, 4_096
 
 
@@ -67,7 +67,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
     candidates all are returned.
 
     The driver sees the pivots and one summary for each of them. A group is searched in blocks by hash of the row, and
-    queries ask in blocks of their own cell, so neither a large group nor many queries meet in one task. A block of rows
+    queries ask in blocks of one cell or of some near ones, so neither a large group nor many queries meet in one task. A block of rows
     is sent to those blocks of queries that ask for it and to no others; each returns k rows for a query at most.
     Components are limited to those of a long, and so are scores.
     """
@@ -97,8 +97,19 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
     for s in summary:
         c = s["cell"]
         radius[c], norm[c], blocks[c], parts[c] = s["r"], s["norm"], -(-s["n"] // BLOCK), max(1, -(-s["asks"] // QUERY_BLOCK))
-    if not sum(s["asks"] for s in summary):
+    asked_of = {s["cell"]: s["asks"] for s in summary if s["asks"]}
+    if not asked_of:
         return empty
+    # Cells that lie at like distances from a pivot ask together until they have a block of queries; large ones ask alone.
+    base, part, room = np.zeros(len(pivots), np.int64), 0, QUERY_BLOCK
+    for c in np.argsort(((centre - centre[0]) ** 2).sum(1), kind="stable").tolist():
+        n = asked_of.get(c, 0)
+        if n > room:
+            part, room = part + 1, QUERY_BLOCK
+        base[c] = part
+        room -= n
+        if room < 0:
+            part, room = part + int(parts[c]), QUERY_BLOCK
     queries = held.where(asks).groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("q")).select("id", "q.vec", "q.cell")
 
     def route(batches):
@@ -116,7 +127,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
             i, g = np.repeat(i, blocks[g]), np.repeat(g, blocks[g])
             b = np.arange(len(g)) - np.searchsorted(g + i * len(blocks), g + i * len(blocks), side="left")
             own = batch.column(2).to_numpy()
-            part = own[i] + len(pivots) * ((ids[i] // every) % parts[own[i]])
+            part = base[own[i]] + (ids[i] // every) % parts[own[i]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(g.astype(np.int32)), pa.array(b.astype(np.int64)), pa.array(part.astype(np.int64)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))],
                 names=["cell", "block", "part", "id", "vec"],
