@@ -4,8 +4,9 @@ Shingles have one order for all texts. Two sets of similarity 0.8 share a shingl
 are the keys (prefix filter), and the places of a shared key bound the overlap (positional filter). Neither loses a pair.
 Shingles that are common come last; commonness is a guess from a table of fixed size, and any order gives the same links.
 
-A key of few texts proposes all of its pairs. A key of many proposes its smallest node with each other first; only pairs
-that the links found so far don't join are proposed then. Every proposed pair is counted on the two texts.
+A key of few texts proposes all of its pairs. A key of many proposes its smallest node with each other first. Only pairs
+that the links found so far don't join are proposed then. Sketches, whose differing bits never outnumber the shingles in which two
+sets differ, rule out most; every pair that is left is counted on the two texts, and only such texts are shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm.common import buckets, scratch
+from foldline.llm.common import buckets, join_back, lean, scratch, sieve, without
 from foldline.llm.components import components
 from foldline.llm.substring import sequence_hashes, word_hashes
 
@@ -82,6 +83,20 @@ def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.nda
     return (UP + DOWN) * np.minimum(n - at, m - to) >= UP * (n + m)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of the shingles in each cell, of at least 64 cells and as many as the set has shingles, a power of two."""
+    width = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the larger folded: no more than there are shingles that one set alone has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    w = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, w), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)) & np.uint64(CELLS - 1)
 
@@ -96,7 +111,7 @@ def _surveyed(docs: DataFrame, words: int) -> DataFrame:
     """(node, a, b) for each text, 128 bits of its words; and (cell, n) for cells that stand out in a task."""
 
     def run(batches):
-        count = np.zeros(CELLS, np.int64)
+        count = np.zeros(CELLS, np.int32)
         for batch in batches:
             a, b = [], []
             for x in batch.column(1):
@@ -111,9 +126,9 @@ def _surveyed(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *signed, none, none], names=["node", "a", "b", "cell", "n"])
         out = np.flatnonzero(count >= 8 * (1 + count.mean()))
         none = pa.nulls(len(out), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(out), pa.array(count[out])], names=["node", "a", "b", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(out), pa.array(count[out], pa.int64())], names=["node", "a", "b", "cell", "n"])
 
-    return docs.mapInArrow(run, "node bigint, a bigint, b bigint, cell bigint, n bigint")
+    return docs.mapInArrow(lean(run), "node bigint, a bigint, b bigint, cell bigint, n bigint")
 
 
 def _common(surveyed: DataFrame) -> np.ndarray:
@@ -125,15 +140,16 @@ def _common(surveyed: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, common) -> DataFrame:
-    """(node, n, keys): the size of each set and its keys, eight bytes each."""
+    """(node, n, keys, sketch): the size of each set, its keys, eight bytes each, and its sketch."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x.as_py() or b"", words) for x in batch.column(1)]
-            keys = pa.array([prefix(s, common.value).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), keys], names=["node", "n", "keys"])
+            keys, sketches = (pa.array(x, pa.binary()) for x in ([prefix(s, common.value).tobytes() for s in sets], [sketch(s) for s in sets]))
+            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), keys, sketches]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "node bigint, n int, keys binary")
+    return docs.mapInArrow(lean(run), "node bigint, n int, keys binary, sketch binary")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +207,21 @@ def proposed(prefixes: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(pairs, "k bigint, a bigint, b bigint, n int, at int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose two texts reach the limit; only texts of proposed pairs are shuffled."""
+def _close(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule out that their sets reach the limit."""
+
+    def run(batches):
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            ok = [(UP + DOWN) * differing(s, t) <= (DOWN - UP) * (i + j) for i, j, s, t in zip(n, m, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    first, second = sets.select("node", "n", "sketch").toDF("a", "_n", "_x"), sets.select("node", "n", "sketch").toDF("b", "_m", "_y")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(lean(run), "a bigint, b bigint")
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose two texts reach the limit; only texts of pairs that sketches leave are shuffled."""
 
     def run(batches):
         held: OrderedDict[bytes, np.ndarray] = OrderedDict()
@@ -208,8 +237,10 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
             ok = [similar(of(x.as_py() or b""), of(y.as_py() or b"")) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    first, second = docs.toDF("a", "_x"), docs.toDF("b", "_y")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
+    pairs = scratch(_close(sets, pairs))
+    needed = docs.where(sieve(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"))
+    first, second = (needed.toDF(*names).hint("merge") for names in (("a", "_x"), ("b", "_y")))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "_x", "_y").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def crossed(rest: DataFrame, comp: DataFrame) -> DataFrame:
@@ -237,21 +268,21 @@ def crossed(rest: DataFrame, comp: DataFrame) -> DataFrame:
     return dealt.groupBy("k", "i", "j").applyInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, words: int, common) -> DataFrame:
-    """(a, b): links that connect all nodes of ``docs`` (node, text as binary; nodes distinct) that chains of pairs of the
-    least similarity join."""
-    found = scratch(proposed(scratch(_prefixes(docs, words, common))))
-    got = scratch(verified(docs, found.where("b is not null").select("a", "b").distinct(), words))
+def links(docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(a, b): links that connect all nodes of ``sets`` that chains of pairs of the least similarity join. ``docs`` (node,
+    text as binary; nodes distinct) has their texts, and may have others."""
+    found = scratch(proposed(sets.select("node", "n", "keys")))
+    got = scratch(verified(docs, sets, found.where("b is not null").select("a", "b").distinct(), words))
     rest = found.where("b is null").select("k", F.col("a").alias("node"), "n", "at")
     if rest.isEmpty():
         return got
-    return got.union(verified(docs, crossed(rest, components(got)), words))
+    return got.union(verified(docs, sets, crossed(rest, components(got)), words))
 
 
 def redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id): rows whose id is not the smallest of those that links join them with. Ids are distinct longs."""
     with _small_batches(docs.sparkSession):
-        return _redundant(docs, id_col, text_col, words)
+        return scratch(_redundant(docs, id_col, text_col, words))
 
 
 def _redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -260,7 +291,8 @@ def _redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     common = docs.sparkSession.sparkContext.broadcast(_common(surveyed))
     # Texts of the same words are copies of the one with the smallest id, which alone goes on.
     seen = surveyed.where("cell is null").select("node", "a", "b")
-    first = seen.groupBy("a", "b").agg(F.min("node").alias("low"))
-    later = scratch(seen.join(first, ["a", "b"]).where("node <> low").select("node"))
-    comp = components(links(rows.join(later, "node", "left_anti"), words, common))
+    first = seen.groupBy("a", "b").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n"))
+    later = scratch(join_back(seen, first, ["a", "b"], "node").where("node <> low").select("node"))
+    sets = scratch(_prefixes(without(rows, later, "node"), words, common))
+    comp = components(links(rows, sets, words))
     return later.union(comp.where("node <> component").select("node")).withColumnRenamed("node", id_col)

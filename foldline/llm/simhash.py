@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import buckets, fresh, join_back, mixed, scratch
+from foldline.llm.common import buckets, fresh, join_back, mixed, scratch, without
 from foldline.llm.components import components, stars
 from foldline.llm.jaccard import redundant, shingle_hashes
 
@@ -267,10 +267,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     if ids.where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).isEmpty():
-        return docs.join(redundant(docs, id_col, text_col, words), id_col, "left_anti").select(docs.columns)
+        return without(docs, redundant(docs, id_col, text_col, words), id_col)
     (row,) = fresh(docs, "_row")
     rows = scratch(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn(row, F.monotonically_increasing_id()))
-    return rows.join(redundant(rows, row, text_col, words), row, "left_anti").select(docs.columns)
+    return without(rows, redundant(rows, row, text_col, words), row).select(docs.columns)
 
 
 def simhash_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from foldline.llm import jaccard, simhash
+from foldline.llm import common, jaccard, simhash
 from tests.llm.util import documents, words
 
 
@@ -78,3 +78,44 @@ def test_same_as_all_pairs(spark, monkeypatch, few, block):
     rng.shuffle(texts)
     kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect())
     assert kept == brute_kept(texts) and 12 < len(kept) < len(texts)
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_do():
+    rng = np.random.default_rng(14)
+    for n, m, both in [(0, 0, 0), (0, 3, 0), (1, 1, 1), (64, 65, 60), (400, 420, 380), (900, 5_000, 700), (3_000, 3_000, 2_700)]:
+        h = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        a, b = np.sort(h[:n]), np.sort(h[n - both :])
+        assert len(b) == m and jaccard.differing(jaccard.sketch(a), jaccard.sketch(b)) <= n + m - 2 * both
+    a, b = rng.integers(0, 1 << 63, (2, 400), dtype=np.uint64)
+    assert (jaccard.UP + jaccard.DOWN) * jaccard.differing(jaccard.sketch(a), jaccard.sketch(b)) > 800  # unlike sets are ruled out
+
+
+def test_rows_without_ids_whatever_the_sieve_lets_through(spark, monkeypatch):
+    monkeypatch.setattr(common, "SIEVE", 64)
+    rows = spark.createDataFrame([(i, str(i)) for i in [*range(-50, 300), None]], "id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(-40, 200, 7)], "id long")
+    got = common.without(rows, ids, "id")
+    assert got.columns == rows.columns and {r.id for r in got.collect()} == {*range(-50, 300), None} - set(range(-40, 200, 7))
+    assert common.without(rows, ids.limit(0), "id").count() == 351
+
+
+def shuffled(spark):
+    """Bytes of shuffle written so far."""
+    jvm = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_a_near_one_are_not_shuffled(spark):
+    """Keys are, of a fifth of the shingles; texts were again and again, whole."""
+    rng = random.Random(15)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(400)) for _ in range(300)]
+    df = documents(spark, [*texts, texts[7] + " end"])
+    before, size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), sum(map(len, texts))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = shuffled(spark)
+        assert simhash.keep_one(df).count() == len(texts)
+        assert shuffled(spark) - start < size / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
