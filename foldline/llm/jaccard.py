@@ -1,18 +1,20 @@
 """Exact near-duplicates: links between texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Shingles have one order for all texts. Two sets of similarity 0.8 share a shingle among the first fifth of each, so those
-are the keys (prefix filter), and the places of a shared key bound the overlap (positional filter). Neither loses a pair.
-Shingles that are common come last; commonness is a guess from a table of fixed size, and any order gives the same links.
+SimHash fingerprints of 64 bits propose pairs first, found by pigeonring filtering (simhash.linked); they can't tell the
+limit, so each pair is counted, and what they miss is found exactly. Shingles have one order for all texts. Two sets of
+similarity 0.8 share a shingle among the first fifth of each, so those are the keys (prefix filter), and the places of a
+shared key bound the overlap (positional filter). Neither loses a pair. Shingles that are common come last; commonness is
+a guess from a table of fixed size, and any order gives the same links.
 
 A key of few texts proposes all of its pairs. A key of many proposes its smallest node with each other first. Only pairs
-that the links found so far don't join are proposed then. Sketches, whose differing bits never outnumber the shingles in which two
+that the links found so far don't join go on. Sketches, whose differing bits never outnumber the shingles in which two
 sets differ, rule out most; every pair that is left is counted on the two texts, and only such texts are shuffled.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -83,6 +85,14 @@ def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.nda
     return (UP + DOWN) * np.minimum(n - at, m - to) >= UP * (n + m)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a set: a bit is 1 if it is in over half of the shingles' hashes. Signed."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 13):
+        total += np.unpackbits(s[at : at + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(s), bitorder="little").view("<i8")[0])
+
+
 def sketch(s: np.ndarray) -> bytes:
     """The parity of the shingles in each cell, of at least 64 cells and as many as the set has shingles, a power of two."""
     width = max(64, 1 << max(len(s) - 1, 0).bit_length())
@@ -140,16 +150,33 @@ def _common(surveyed: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, common) -> DataFrame:
-    """(node, n, keys, sketch): the size of each set, its keys, eight bytes each, and its sketch."""
+    """(node, n, keys, fp, sketch): the size of each set, its keys, eight bytes each, its fingerprint and its sketch."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x.as_py() or b"", words) for x in batch.column(1)]
             keys, sketches = (pa.array(x, pa.binary()) for x in ([prefix(s, common.value).tobytes() for s in sets], [sketch(s) for s in sets]))
-            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), keys, sketches]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "keys", "sketch"])
+            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), keys, pa.array([fingerprint(s) for s in sets], pa.int64()), sketches]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "keys", "fp", "sketch"])
+
+    return docs.mapInArrow(lean(run), "node bigint, n int, keys binary, fp bigint, sketch binary")
+
+
+def near(sets: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): pairs that connect all nodes of ``sets`` (node, fp) whose fingerprints chains of near ones join."""
+    fps = scratch(sets.groupBy("fp").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")))
+    same = join_back(sets.select("node", "fp"), fps, ["fp"], "node").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    pairs = scratch(linked(fps.select(F.col("fp").alias("node"))).select(F.col("a").alias("_a"), F.col("b").alias("_b")))
+    a, b = (fps.select(F.col("fp").alias(f"_{c}"), F.col("low").alias(c)) for c in "ab")
+    met = pairs.join(a, "_a").join(b, "_b")
+    return same.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
 
-    return docs.mapInArrow(lean(run), "node bigint, n int, keys binary, sketch binary")
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``comp`` (node, component) doesn't join."""
+    of_a, of_b = (comp.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+    told = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return told.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,24 +295,27 @@ def crossed(rest: DataFrame, comp: DataFrame) -> DataFrame:
     return dealt.groupBy("k", "i", "j").applyInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, words: int, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): links that connect all nodes of ``sets`` that chains of pairs of the least similarity join. ``docs`` (node,
     text as binary; nodes distinct) has their texts, and may have others."""
+    got = scratch(verified(docs, sets, near(sets, linked), words))
     found = scratch(proposed(sets.select("node", "n", "keys")))
-    got = scratch(verified(docs, sets, found.where("b is not null").select("a", "b").distinct(), words))
+    pairs = apart(found.where("b is not null").select("a", "b").distinct(), components(got))
+    got = scratch(got.union(verified(docs, sets, pairs, words)))
     rest = found.where("b is null").select("k", F.col("a").alias("node"), "n", "at")
     if rest.isEmpty():
         return got
     return got.union(verified(docs, sets, crossed(rest, components(got)), words))
 
 
-def redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id): rows whose id is not the smallest of those that links join them with. Ids are distinct longs."""
+def redundant(docs: DataFrame, id_col: str, text_col: str, words: int, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id): rows whose id is not the smallest of those that links join them with. Ids are distinct longs. ``linked`` makes
+    (a, b), links of near ones, from distinct fingerprints (node)."""
     with _small_batches(docs.sparkSession):
-        return scratch(_redundant(docs, id_col, text_col, words))
+        return scratch(_redundant(docs, id_col, text_col, words, linked))
 
 
-def _redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def _redundant(docs: DataFrame, id_col: str, text_col: str, words: int, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
     surveyed = scratch(_surveyed(rows, words))
     common = docs.sparkSession.sparkContext.broadcast(_common(surveyed))
@@ -294,5 +324,5 @@ def _redundant(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     first = seen.groupBy("a", "b").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n"))
     later = scratch(join_back(seen, first, ["a", "b"], "node").where("node <> low").select("node"))
     sets = scratch(_prefixes(without(rows, later, "node"), words, common))
-    comp = components(links(rows, sets, words))
+    comp = components(links(rows, sets, words, linked))
     return later.union(comp.where("node <> component").select("node")).withColumnRenamed("node", id_col)

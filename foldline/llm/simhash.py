@@ -7,7 +7,8 @@ Narrow fingerprints, 64 bits in five segments, link at four bits. Candidates are
 segments, which misses none; the whole chain condition prunes them before all bits count.
 
 Wide fingerprints, 512 bits in eight segments, link at 96 bits and meet by windows of 16 bits. They estimate the similarity
-of shingles and miss some pairs, so the pipeline's stage (``keep_one``) counts shingles instead: see jaccard.py.
+of shingles and miss some pairs. The pipeline's stage (``keep_one``) has pairs proposed by narrow fingerprints, counts their
+shingles, and finds what fingerprints miss exactly: see jaccard.py.
 """
 
 from __future__ import annotations
@@ -267,10 +268,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     if ids.where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).isEmpty():
-        return without(docs, redundant(docs, id_col, text_col, words), id_col)
+        return without(docs, redundant(docs, id_col, text_col, words, linked), id_col)
     (row,) = fresh(docs, "_row")
     rows = scratch(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn(row, F.monotonically_increasing_id()))
-    return without(rows, redundant(rows, row, text_col, words), row).select(docs.columns)
+    return without(rows, redundant(rows, row, text_col, words, linked), row).select(docs.columns)
 
 
 def simhash_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -119,3 +119,36 @@ def test_texts_without_a_near_one_are_not_shuffled(spark):
         assert shuffled(spark) - start < size / 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_fingerprints_propose_pairs(spark):
+    """The pipeline's stage asks for pairs by SimHash and pigeonring filtering: what four bits or fewer join, none else."""
+    rng = random.Random(16)
+    fps = [0, -1]
+    for _ in range(30):
+        fps.append(rng.getrandbits(64) - (1 << 63))
+        fps += [fps[-1] ^ sum(1 << b for b in rng.sample(range(63), k)) for k in (0, 1, 4, 5)]
+    sets = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    pairs = [(r.a, r.b) for r in jaccard.near(sets, simhash.linked).collect()]
+    bits = lambda i, j: ((fps[i] ^ fps[j]) & ((1 << 64) - 1)).bit_count()
+    roots = []
+    for links in (pairs, [(i, j) for j in range(len(fps)) for i in range(j) if bits(i, j) <= simhash.BITS]):
+        root = list(range(len(fps)))
+        for _ in range(8):
+            for i, j in links:
+                root[i] = root[j] = min(root[i], root[j])
+        roots.append(root)
+    assert roots[0] == roots[1] and all(i < j for i, j in pairs)
+
+
+def test_what_fingerprints_propose_is_counted_and_what_they_miss_is_found(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(simhash, "linked", lambda fps: asked.append(fps.count()) or linked(fps))
+    linked = lambda fps: fps.crossJoin(fps.toDF("b")).where("node < b").toDF("a", "b")
+    rng = random.Random(17)
+    w = words(rng, 400, 4000).split()
+    texts = [" ".join(w), with_tail(rng, w, 0.01), with_tail(rng, w, 0.1), with_tail(rng, w, 0.2), words(rng, 300, 4000)]
+    kept = brute_kept(texts)
+    assert [r.doc_id for r in simhash.keep_one(documents(spark, texts)).orderBy("doc_id").collect()] == kept and asked == [5]
+    linked = lambda fps: fps.select(fps.node.alias("a"), fps.node.alias("b")).limit(0)
+    assert [r.doc_id for r in simhash.keep_one(documents(spark, texts)).orderBy("doc_id").collect()] == kept and len(asked) == 2
