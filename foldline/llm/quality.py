@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import fresh
+from foldline.llm.common import lean
 
 #: At most so many labelled rows are fitted on, those of least hash; a documented bound, not a share of the input.
 SAMPLE = 12_000
@@ -200,12 +200,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, all columns unchanged and of any names, whose score reaches the threshold; null texts are scored as empty."""
     names, schema = docs.columns, docs.schema
-    (text,) = fresh(docs, "_text")
+    text = names.index(text_col)
 
     def run(batches):
         for batch in batches:
-            (_, x), = _rows([pa.RecordBatch.from_arrays([batch.column(0), batch.column(len(names))], names=["k", "t"])])
+            said = batch.column(text)  # texts go to Python once: their bytes are looked at as they lie there
+            said = said.cast(pa.large_binary() if pa.types.is_large_string(said.type) else pa.binary())
+            (_, x), = _rows([pa.RecordBatch.from_arrays([batch.column(0), said], names=["k", "t"])])
             keep = pa.array(model.score(x) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))], names=names).filter(keep)
 
-    return docs.withColumn(text, F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

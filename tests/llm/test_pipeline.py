@@ -68,3 +68,16 @@ def test_no_documents_and_odd_ones(spark, tmp_path):
         for _, stage in cp.STAGES[1:-1]:
             out = stage(spark, docs, d)
             assert out.columns == COLUMNS and out.count() == (len(rows) if stage is not cp.one_of_each else len({r[1] or "" for r in rows}))
+
+
+def test_few_texts_go_to_python_at_a_time_and_once(spark, tmp_path):
+    before, d = spark.conf.get(cp.BATCH), str(tmp_path)
+    docs = spark.range(1_200).coalesce(1).selectExpr("id AS doc_id", "concat('Some words ', id) AS text")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    try:
+        kept = cp.good_only(spark, docs, d)
+        assert kept.count() == 1_200 and "binary" not in kept._jdf.queryExecution().optimizedPlan().toString()
+        sizes = docs.mapInArrow(lambda batches: (b.slice(0, 1).select(["doc_id"]) for b in batches), "doc_id long").count()
+        assert sizes >= 3
+    finally:
+        spark.conf.set(cp.BATCH, before)
