@@ -7,6 +7,7 @@ from foldline.functions.columns import (
     register,
     statement_digest,
     statement_digest_hash,
+    statement_digest_hashes,
     statement_digest_text,
     statement_tokens,
     truncate_bytes,
@@ -21,6 +22,7 @@ __all__ = [
     "register",
     "statement_digest",
     "statement_digest_hash",
+    "statement_digest_hashes",
     "statement_digest_text",
     "statement_tokens",
     "truncate_bytes",

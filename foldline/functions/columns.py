@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +126,40 @@ def statement_digest_hash(sql: Column | str, options: Options = Options()) -> Co
     return statement_digest(sql, options)["hash"]
 
 
+#: Bytes of statements that a worker takes out of an Arrow batch at a time.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(values: pa.Array) -> Iterator[pa.Array]:
+    """A column of bytes in parts of at most SLICE_BYTES, or of one value."""
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if held + n > SLICE_BYTES and i > start:
+            yield values.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield values.slice(start)
+
+
+def statement_digest_hashes(sql: Column | str, versions: tuple[str, ...] = v.VERSIONS) -> Column:
+    """array of a statement's hashes in each version, in the default modes. Null gives null.
+
+    A statement is read once for all versions unless it has version comments or hints, which are read by version. For logs
+    of long texts that don't repeat: nothing is remembered from batch to batch, and literals stay where they are.
+    """
+    if unknown := [x for x in versions if x not in v.KEYWORDS]:
+        raise ValueError(f"unknown version {unknown[0]!r}; there are {', '.join(v.VERSIONS)}")
+    col, kind = F.col(sql) if isinstance(sql, str) else sql, pa.list_(pa.string())
+
+    @F.arrow_udf("array<string>")
+    def hashes(x: pa.Array) -> pa.Array:
+        parts = [_by_distinct(part, lambda s: engine.hashes(s, versions), kind) for part in _slices(x)]
+        return pa.concat_arrays(parts)
+
+    return hashes(col.cast("binary"))
+
+
 _TOKENS = pa.list_(pa.struct([("type", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.binary())]))
 
 

@@ -25,7 +25,7 @@ from foldline.cli import main
 from foldline.functions import Options
 from foldline.functions import vocabulary as v
 from foldline.goldens import GOLDENS
-from foldline.plans import keywords, logged, point_selects, spread
+from foldline.plans import dealt, keywords, logged, point_selects, spread
 from foldline.plans.logs import table
 from foldline.sources import as_json, as_lines, from_files, from_text, trimmed, write_digests
 from foldline.streaming import digest_sessions, digest_windows
@@ -568,10 +568,9 @@ _KNOWN_SQL = "SELECT CASE WHEN l_linenumber < 3 THEN 'known' ELSE 'unknown' END
 def hostile_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose and raw web pages as statements: every row has a digest in every version."""
     rows = table(spark, sf_dir, "documents").select(F.col("text").alias("sql")).union(table(spark, sf_dir, "pages").select("html"))
-    rows = spread(rows)
-    for version in v.VERSIONS:
-        rows = rows.withColumn(f"ok_{version.replace('.', '_')}", F.length(fn.statement_digest_hash("sql", Options(version))) == (32 if version == "5.7" else 64))
-    return rows.groupBy(*(c for c in rows.columns if c != "sql")).agg(F.count(F.lit(1)).alias("n"))
+    rows = dealt(rows).select(fn.statement_digest_hashes("sql", v.VERSIONS).alias("hashes"))
+    ok = [(F.length(F.col("hashes")[i]) == (32 if version == "5.7" else 64)).alias(f"ok_{version.replace('.', '_')}") for i, version in enumerate(v.VERSIONS)]
+    return rows.groupBy(*ok).agg(F.count(F.lit(1)).alias("n"))
 
 
 _HOSTILE_SQL = "SELECT true AS ok_8_0, true AS ok_8_4, true AS ok_9_0, true AS ok_5_7, (SELECT count(*) FROM documents) + (SELECT count(*) FROM pages) AS n"

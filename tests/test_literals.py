@@ -61,3 +61,11 @@ def test_small_logs_are_spread_and_large_ones_stay(spark, monkeypatch):
     assert logs.spread(log).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(logs, "SMALL", 0)
     assert logs.spread(log).rdd.getNumPartitions() == 1
+
+
+def test_long_texts_are_dealt_evenly_whatever_their_size(spark, monkeypatch):
+    log = spark.range(100).selectExpr("concat('SELECT ', id) AS sql").coalesce(1)
+    monkeypatch.setattr(logs, "PART", 100)
+    dealt = logs.dealt(log)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().select(F.max("count"), F.sum("count")).first()
+    assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and tuple(sizes)[1] == 100 and sizes[0] < 20
