@@ -75,7 +75,7 @@ def digest_point_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest_distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.summarize(op.digest_statements(point_selects(spark, sf_dir)))
+    return op.summarize_statements(point_selects(spark, sf_dir))
 
 
 _POINT_SQL = f"SELECT {_hash_sql(_POINT)} AS digest, 'SELECT * FROM `lineitem` WHERE `l_orderkey` = ?' AS digest_text, count(*) AS n FROM lineitem"

@@ -11,6 +11,8 @@ from foldline import functions as fn
 from foldline import operators as op
 from foldline import sources
 from foldline.functions import Options, engine
+from foldline.operators import digests
+from foldline.queries import queries
 from foldline.streaming import digest_sessions, digest_windows
 
 #: How JSON writes a less-than sign here.
@@ -111,3 +113,19 @@ def test_command_line(tmp_path):
     for bad in (run(stdin=" \n"), run("--sql", "SELECT 'a"), run("-f", str(tmp_path / "none"))):
         assert bad.returncode == 1 and bad.stderr.startswith("Error: ") and not bad.stdout
     assert "no SQL input provided" in run(stdin=" ").stderr
+
+
+def test_statements_that_differ_in_literals_are_read_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(digests, "with_digest", lambda log, *a, real=digests.with_digest: (read.append(log.count()), real(log, *a))[1])
+    log = spark.range(500).selectExpr("id", "CASE WHEN id > 1 THEN concat('SELECT ', id, ' FROM t', id % 2) WHEN id = 1 THEN 'SELECT ''a' END AS sql")
+    want = op.with_digest(log)
+    assert op.digest_statements(log).columns == want.columns
+    assert sorted(map(str, op.digest_statements(log).collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, op.summarize_statements(log).collect())) == sorted(map(str, op.summarize(want).collect()))
+    assert read == [3, 3, 4]  # and a null
+
+
+def test_distinct_first_does_not_join(spark):
+    plan = queries()["digest_distinct_first"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 2
