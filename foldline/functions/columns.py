@@ -17,6 +17,8 @@ from foldline.functions.lexer import Lexer
 
 #: Statements that a worker remembers with their digests, and how many bytes the longest of them has.
 REMEMBERED, REMEMBERED_BYTES = 20_000, 2_000
+#: How many bytes all of them have, each with what is kept of its digest.
+REMEMBERED_TOTAL = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,7 @@ class _Remembered(dict):
         super().__init__()
         self.options = options
         self.of_tokens: dict[tuple, tuple[str, bytes]] = {}
+        self.held = 0
 
     def __missing__(self, sql: bytes) -> dict:
         o = self.options
@@ -82,17 +85,39 @@ class _Remembered(dict):
         f = lexer.fault
         out = {"hash": done[0], "text": done[1], "fault": f and {"position": f.position, "message": f.message, "input": f.input}}
         if len(sql) <= REMEMBERED_BYTES:
-            if len(self) >= REMEMBERED:
+            size = len(sql) + len(done[1]) + 2 * len(chars) + sum(map(len, names)) + 40 * len(names)
+            if len(self) >= REMEMBERED or self.held + size > REMEMBERED_TOTAL:
                 self.clear()
                 self.of_tokens.clear()
+                self.held = 0
+            self.held += size
             self[sql], self.of_tokens[key] = out, done
         return out
 
 
+#: Bytes of statements that a worker takes out of an Arrow batch at a time.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(values: pa.Array) -> Iterator[pa.Array]:
+    """A column of bytes in parts of at most SLICE_BYTES, or of one value."""
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if held + n > SLICE_BYTES and i > start:
+            yield values.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield values.slice(start)
+
+
 def _by_distinct(values: pa.Array, one: Callable[[bytes], object], kind: pa.DataType) -> pa.Array:
-    """``one`` of each distinct value of a column, at the places of that value; null stays null."""
-    coded = values.cast(pa.binary()).dictionary_encode()
-    return pa.array([one(x) for x in coded.dictionary.to_pylist()], kind).take(coded.indices)
+    """``one`` of each distinct value of a column, at the places of that value; null stays null. A slice at a time."""
+    out = []
+    for part in _slices(values.cast(pa.binary())):
+        coded = part.dictionary_encode()
+        out.append(pa.array([one(x) for x in coded.dictionary.to_pylist()], kind).take(coded.indices))
+    return pa.concat_arrays(out)
 
 
 def _digest_udf(options: Options):
@@ -126,22 +151,6 @@ def statement_digest_hash(sql: Column | str, options: Options = Options()) -> Co
     return statement_digest(sql, options)["hash"]
 
 
-#: Bytes of statements that a worker takes out of an Arrow batch at a time.
-SLICE_BYTES = 4 << 20
-
-
-def _slices(values: pa.Array) -> Iterator[pa.Array]:
-    """A column of bytes in parts of at most SLICE_BYTES, or of one value."""
-    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if held + n > SLICE_BYTES and i > start:
-            yield values.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    yield values.slice(start)
-
-
 def statement_digest_hashes(sql: Column | str, versions: tuple[str, ...] = v.VERSIONS) -> Column:
     """array of a statement's hashes in each version, in the default modes. Null gives null.
 
@@ -154,8 +163,7 @@ def statement_digest_hashes(sql: Column | str, versions: tuple[str, ...] = v.VER
 
     @F.arrow_udf("array<string>")
     def hashes(x: pa.Array) -> pa.Array:
-        parts = [_by_distinct(part, lambda s: engine.hashes(s, versions), kind) for part in _slices(x)]
-        return pa.concat_arrays(parts)
+        return _by_distinct(x, lambda s: engine.hashes(s, versions), kind)
 
     return hashes(col.cast("binary"))
 

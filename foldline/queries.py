@@ -25,7 +25,7 @@ from foldline.cli import main
 from foldline.functions import Options
 from foldline.functions import vocabulary as v
 from foldline.goldens import GOLDENS
-from foldline.plans import dealt, keywords, logged, point_selects, spread
+from foldline.plans import dealt, keywords, logged, point_selects
 from foldline.plans.logs import table
 from foldline.sources import as_json, as_lines, from_files, from_text, trimmed, write_digests
 from foldline.streaming import digest_sessions, digest_windows
@@ -588,7 +588,7 @@ _HOSTILE_ROWS = "SELECT 'document' AS kind, doc_id AS id, text AS x FROM documen
 
 def hostile_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as names, strings and comments of statements; whatever a text holds, only a name shows in the digest."""
-    df = spread(_hostile(spark, sf_dir).where("x is not null"))
+    df = dealt(_hostile(spark, sf_dir).where("x is not null"))
     name, string = F.replace("x", F.lit("`"), F.lit("``")), F.replace(F.replace("x", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
     sql = F.concat(F.lit("SELECT `"), name, F.lit("` /* "), F.replace("x", F.lit("*/"), F.lit("")), F.lit("*/, '"), string, F.lit("'"))
     out = op.with_digest(df.select("kind", "id", F.sha2("x", 256).alias("of"), sql.alias("sql")))

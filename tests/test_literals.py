@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foldline.functions import Options, statement_digest, without_literals
+from foldline.functions import Options, columns, statement_digest, without_literals
 from foldline.functions.engine import compute
 from foldline.goldens import GOLDENS
 from foldline.plans import logs
@@ -69,3 +70,35 @@ def test_long_texts_are_dealt_evenly_whatever_their_size(spark, monkeypatch):
     dealt = logs.dealt(log)
     sizes = dealt.groupBy(F.spark_partition_id()).count().select(F.max("count"), F.sum("count")).first()
     assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and tuple(sizes)[1] == 100 and sizes[0] < 20
+
+
+def test_long_texts_go_to_python_by_few_bytes(spark, monkeypatch):
+    before = spark.conf.get(logs.BATCH)
+    monkeypatch.setattr(logs, "BATCH_BYTES", 40_000)
+
+    @F.arrow_udf("long")
+    def held(x: pa.Array) -> pa.Array:
+        return pa.array([sum(len(s.as_py()) for s in x)] * len(x), pa.int64())
+
+    try:
+        log = logs.dealt(spark.range(400).selectExpr("repeat(char(65 + id % 26), 1000) AS sql"))
+        assert log.select(held("sql").alias("n")).agg(F.max("n")).first()[0] <= 41_000
+    finally:
+        spark.conf.set(logs.BATCH, before)
+
+
+def test_slices_and_what_is_remembered_are_bounded(monkeypatch):
+    monkeypatch.setattr(columns, "SLICE_BYTES", 100)
+    monkeypatch.setattr(columns, "REMEMBERED_TOTAL", 5_000)
+    known, most = columns._Remembered(Options()), []
+    values = [None if i % 7 == 0 else b"SELECT a%d FROM t" % (i % 40) for i in range(300)] + [b"SELECT '" + b"x" * 500 + b"'", b""]
+
+    def one(sql):
+        most.append(known.held)
+        return None if sql is None else known[sql]
+
+    got = columns._by_distinct(pa.array(values, pa.string()), one, columns._RAW_ARROW).to_pylist()
+    assert [x and x["hash"] for x in got] == [None if s is None else compute(s).hash for s in values]
+    assert 0 < max(most) <= 5_000 and len(most) > 60
+    assert max(map(len, columns._slices(pa.array(values, pa.binary())))) < 10
+    assert columns._by_distinct(pa.array([], pa.binary()), one, columns._RAW_ARROW).to_pylist() == []
